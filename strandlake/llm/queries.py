@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat, fingerprints, language_id, mixing, quality, simhash, substring_dedup, token_files
+from strandlake.llm import bpe, chat, fingerprints, language_id, mixing, quality, simhash, substring_dedup, token_files, toxicity
 from strandlake.llm._common import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_margin", "lang_rejected")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~language_id.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs.where("not held_out"), labels, corpus=docs)
+    out = toxicity.score(docs.select("doc_id", "held_out", "text"), model)
+    return out.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.fingerprint_documents(documents(spark, sf_dir))
     rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text"))).drop("next_text")

@@ -9,7 +9,12 @@ alone delimit records, so payloads may hold any byte.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+import string
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +28,10 @@ from pyspark.sql.window import Window
 
 from strandlake.llm._common import slices, shuffle_width
 
-REMEMBERED = 400_000
+#: Chunks that a worker remembers; the memory is emptied when full, which changes no result.
+REMEMBERED = 500_000
+#: ASCII controls that only Python's str.split() takes for white space.
+_CONTROLS = re.compile(r"[\x1c-\x1f]").search
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<BqB")
 TAIL = struct.Struct("<I")
@@ -61,31 +69,76 @@ def records(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]
 
 
 class WordEncoder:
-    """The tokenizers library behind a memory of white-space delimited chunks.
-
-    The tokenizer drops white space and never joins text across it, so the ids of
-    a text are those of its chunks in order.
+    """The tokenizers library behind a memory of white-space delimited chunks: chunk to packed ids.
+
+    The tokenizer normalizes, lower-cases, drops white space and never joins text across
+    it, so the ids of a text are those of its chunks in order. Texts are lowered before
+    the look-up where that and normalization can be swapped. New chunks that are
+    normalized words of small letters pass the library's model without normalizer and
+    splitter, which would leave them as they are; signs behind a word are a piece of
+    their own. All other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _chunks(self, text: str | None) -> list[str]:
+        text = text or ""
+        if "<|" not in text:  # special tokens are found as they are written
+            low = text.lower()
+            if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+                text = low
+        return text.split() if text.isascii() and not _CONTROLS(text) else [c.decode("utf-8") for c in text.encode("utf-8").split()]
+
+    def _whole(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 1000):
+            for c, e in zip(chunks[i : i + 1000], self.tokenizer.encode_batch_fast(chunks[i : i + 1000], add_special_tokens=False), strict=True):
+                self.known[c] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known, words, others, joined = self.known, set(), set(), []
+        for c in new:
+            base, tail = c, ""
+            if not c.isalpha():
+                base = c.rstrip(string.punctuation)
+                tail = c[len(base) :]
+            if base.isalpha() and base == base.lower() and unicodedata.is_normalized("NFC", base):
+                if base not in known:
+                    words.add(base)
+                if tail:
+                    joined.append((c, base, tail))
+                    if tail not in known:
+                        others.add(tail)
+            else:
+                others.add(c)
+        self._whole(list(others))
+        listed = list(words)
+        for i in range(0, len(listed), 2048):
+            part = listed[i : i + 2048]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            packed = ids.tobytes()
+            known.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        for c, base, tail in joined:
+            known[c] = known[base] + known[tail]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunked = [(t or "").encode("utf-8").split() for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({c for chunks in chunked for c in chunks if c not in known})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode("utf-8") for c in part], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in chunked]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        chunked = [self._chunks(t) for t in texts]
+        self._learn(set(itertools.chain.from_iterable(chunked)).difference(self.known))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4") for chunks in chunked]
 
 
 _LOADED: dict[str, WordEncoder] = {}
