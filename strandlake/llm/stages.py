@@ -1,8 +1,80 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame.
 
+Each takes documents (doc_id, text, lang, source, n_chars and whatever else) and, but
+for the last, returns the same columns. n_chars is renewed where a stage changes a text.
+"""
 
-def language_id(spark, docs, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-near_dedup = substring_dedup = mix = encode = language_id
+from strandlake.llm import bpe, language_id as lid, mixing, simhash, substring_dedup as repeats
+from strandlake.llm._common import written
+
+
+def _renewed(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with another text, and its length where they have one; other columns and their order stay."""
+    changed = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language can't be told: no letter, or an encoding margin that is too narrow.
+
+    The dictionaries are learnt from the rows of docs with a language. Null and empty texts go.
+    """
+    found = lid.identify(docs, lid.fit(docs), prefix="_lang_")
+    return found.where("not _lang_rejected").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of linked fingerprints, once if its id repeats.
+
+    Documents with a null id stay as they are. Texts are shuffled once, for the join with the kept ids.
+    """
+    classes = simhash.near_duplicates(docs)
+    kept = written(classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
+    rows = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return rows.unionByName(docs.where("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut what repeats from documents with smaller ids; documents of which nothing is left go.
+
+    Bytes are judged and cut by the operator; where a cut leaves part of a character, that
+    part goes too. All columns travel with the texts through the operator's blocks, so
+    no join is needed and repeated or null ids keep a row each.
+    """
+    cut = repeats.remove_repeats(docs, with_kept=True, carried=[c for c in docs.columns if c not in ("doc_id", "text")])
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    return _renewed(cut.where("n_removed = 0 or n_removed < n_bytes").select(*(F.col(c) if c != "text" else text.alias("text") for c in docs.columns)), F.col("text"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Read each document as often as the mix takes it: 0 to 2 rows, the last one cut behind the words taken.
+
+    A round that takes a whole document keeps its text as it is; one that takes part of it
+    keeps that many words from its beginning. Equal ids are matched in order of size.
+    """
+    taken = mixing.mix_sources(docs).documents
+    n = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
+    taken = taken.withColumn("n", F.row_number().over(n))
+    taken = written(taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "size", "n", "round_1", "round_2"), "mix-taken")
+    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
+    sized = sized.withColumn("n", F.row_number().over(n)).withColumnRenamed("size", "_size").withColumnRenamed("n", "_n")
+    rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("size")) & (F.col("_n") == F.col("n")))
+    rows = rows.withColumn("_words", F.explode(F.filter(F.array("round_1", "round_2"), lambda w: w > 0)))
+    return _renewed(rows.withColumn("text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(mixing.first_words(F.col("text"), F.col("_words")))).select(*docs.columns), F.col("text"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts: doc_id, lang, source, n_tokens, ids, and whether decoding gives the text back."""
+    rows = bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))

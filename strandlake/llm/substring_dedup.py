@@ -340,10 +340,7 @@ def _repeated(block: Block, told: pa.Table) -> np.ndarray:
     return _joined(out, np.int64)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
-def _finish(with_kept: bool):
+def _finish(carried: list[str], with_kept: bool):
     def run(key, docs, told):
         block = Block(docs)
         edge = np.zeros(len(block.body) + 1, np.int32)
@@ -358,20 +355,21 @@ def _finish(with_kept: bool):
             removed = int(g.sum())
             kept = block.body[a:b][~g].tobytes() if removed else block.raw[a:b]
             spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
-            rows.append((docs.column("doc_id")[block.order[i]].as_py(), b - a, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+            rows.append((b - a, removed, spans, hashlib.sha256(kept).hexdigest(), *((kept, kept.decode("utf-8", "ignore")) if with_kept and removed else (None, None))))
+        out = docs.take(pa.array(block.order, pa.int64())).select(["doc_id", *(["text"] if with_kept else []), *carried])
+        for name, column, kind in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")[: 4 + 2 * with_kept], zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=False):
+            out = out.append_column(name, pa.array(column, kind))
+        return out
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_kept: bool = True, blocks: int | None = None, common: int = COMMON_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_kept: bool = True, carried: list[str] = (), blocks: int | None = None, common: int = COMMON_BLOCKS) -> DataFrame:
     """Mark for removal each byte that a string of WIDTH bytes covers which also starts in a document with a smaller id.
 
-    Returns per row doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if with_kept,
-    kept (binary: the remaining bytes). Strings are judged on the input. Null texts are
+    Returns per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, if with_kept also
+    text, kept (binary: the remaining bytes where any are removed, else null) and kept_text
+    (the same without parts of characters that a cut left), and the `carried` columns, which go along with the texts. Strings are judged on the input. Null texts are
     empty; null ids precede all others; rows with equal ids are one document and never
     remove from each other. A text shorter than WIDTH loses nothing.
 
@@ -379,7 +377,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     by one task. A key that a third of the rows share reaches a bucket once per block.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`") for c in carried))
     blocks = blocks or max(1, 4 * docs.rdd.getNumPartitions())
     bits = max(1, (4 * shuffle_width(spark) - 1).bit_length())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
@@ -389,4 +387,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sent = held.cogroup(shared.groupBy("block")).applyInArrow(_send_phrases(bits), MESSAGE)
     least = sent.groupBy("bucket").applyInArrow(_answer_phrases, MESSAGE)
     told = shared.unionByName(least)
-    return held.cogroup(told.groupBy("block")).applyInArrow(_finish(with_kept), RESULT)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    result = ["doc_id long", *(["text string"] if with_kept else []), *(f"`{c}` {kinds[c]}" for c in carried), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary, kept_text string"] if with_kept else [])]
+    return held.cogroup(told.groupBy("block")).applyInArrow(_finish(list(carried), with_kept), ", ".join(result))

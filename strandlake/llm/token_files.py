@@ -86,7 +86,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.plain = Tokenizer(self.tokenizer.model)
+        # ASCII letters stand for themselves in byte-level vocabularies, other letters take a byte-level pass
+        self.ascii, self.plain = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -106,30 +108,40 @@ class WordEncoder:
             for c, e in zip(chunks[i : i + 1000], self.tokenizer.encode_batch_fast(chunks[i : i + 1000], add_special_tokens=False), strict=True):
                 self.known[c] = np.array(e.ids, "<u4").tobytes()
 
+    def _words(self, tokenizer, words: list[str]) -> None:
+        for i in range(0, len(words), 2048):
+            part = words[i : i + 2048]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            packed = ids.tobytes()
+            self.known.update(zip(part, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
     def _learn(self, new: set[str]) -> None:
-        known, words, others, joined = self.known, set(), set(), []
+        known, plain, accented, others, joined = self.known, set(), set(), set(), []
         for c in new:
             base, tail = c, ""
             if not c.isalpha():
                 base = c.rstrip(string.punctuation)
                 tail = c[len(base) :]
-            if base.isalpha() and base == base.lower() and unicodedata.is_normalized("NFC", base):
-                if base not in known:
-                    words.add(base)
-                if tail:
-                    joined.append((c, base, tail))
-                    if tail not in known:
-                        others.add(tail)
+            if base.isascii():
+                small = base.isalpha() and base.islower()
+                kind = plain
             else:
+                small = base.isalpha() and base == base.lower() and unicodedata.is_normalized("NFC", base)
+                kind = accented
+            if not small:
                 others.add(c)
+                continue
+            if tail:
+                joined.append((c, base, tail))
+                if tail not in known:
+                    others.add(tail)
+                if base in known:
+                    continue
+            kind.add(base)
         self._whole(list(others))
-        listed = list(words)
-        for i in range(0, len(listed), 2048):
-            part = listed[i : i + 2048]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            packed = ids.tobytes()
-            known.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        self._words(self.ascii, list(plain))
+        self._words(self.plain, list(accented))
         for c, base, tail in joined:
             known[c] = known[base] + known[tail]
 
@@ -137,8 +149,12 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         chunked = [self._chunks(t) for t in texts]
-        self._learn(set(itertools.chain.from_iterable(chunked)).difference(self.known))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4") for chunks in chunked]
+        found = [list(map(self.known.get, chunks)) for chunks in chunked]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        self._learn({c for i in lacking for c, ids in zip(chunked[i], found[i], strict=True) if ids is None})
+        for i in lacking:
+            found[i] = [self.known[c] if ids is None else ids for c, ids in zip(chunked[i], found[i], strict=True)]
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
 _LOADED: dict[str, WordEncoder] = {}

@@ -10,6 +10,7 @@ and their beginnings, then testify by how much oftener toxic texts use them.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,13 +41,42 @@ _CODE[0xC0:] = OTHER
 _CODE[0x80:0xC0] = 255  # the rest of a character that its first byte stands for
 
 _LOOK = "".join(map(regex.escape, LOOK_ALIKES))
-#: A token with a look-alike that touches a letter, a letter three times in a row, or three and more single letters set apart.
-_SUSPICIOUS = regex.compile(rf"(?<!\S)(?:\p{{L}}(?:[ ._*\-]\p{{L}}){{2,}}(?!\S)|(?=\S*(?:\p{{L}}[{_LOOK}]|[{_LOOK}]\p{{L}}|(\p{{L}})\1\1))\S+)")
+#: Where a token turns suspicious: look-alikes between letters, before the first or (one or two, not `!`) after the last one; a letter three times in a row.
+_ANCHOR = regex.compile(rf"\p{{L}}[{_LOOK}]+\p{{L}}|(?<![^\s\"'])[0-9@$+€|!]+\p{{L}}|\p{{L}}[0-9@$+€]{{1,2}}(?![^\s.,;:!?])|(\p{{L}})\1\1")
+#: Three and more single letters set apart by one sign each.
+_SPACED = regex.compile(r"(?<!\S)\p{L}(?:([ ._*\-])\p{L})(?:\1\p{L})+(?![^\s.,;:!?])")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_TOKENS = re.compile(r"(\s+)")
 #: Signs at the edges of a token that only decorate it.
-_EDGES = regex.compile(r"^(?:([^\p{L}\p{N}\s])\1+|[\"'(\[{<*_.,;:]+)+|(?:([^\p{L}\p{N}\s])\2+|[\"')\]}>*_.,;:!?|+]+)+$")
+_EDGES = regex.compile(r"^(?:([^\p{L}\p{N}\s])\1{2,}|[\"'(\[{<*_.,;:]+)+|(?:([^\p{L}\p{N}\s])\2{2,}|[\"')\]}>*_.,;:!?|]+)+$")
 _NOT_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
+_LETTER, _LOOKS, _LEADS, _APART, _SPACES = (np.zeros(256, bool) for _ in range(5))
+_LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+_LOOKS[[*b"0123456789@$+"]] = True
+_LEADS[[*b"0123456789@$+!|("]] = True
+_APART[[*b" ._*-"]] = True
+_SPACES[[*b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]] = _SPACES[0x80:] = True
+
+
+def suspicious(text: str) -> bool:
+    """Whether a lower-case text may hold a suspicious stretch (never false where it does): a quick look at its bytes."""
+    b = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", np.uint8)
+    if not text.isascii():
+        b = b[(b & 0xC0) != 0x80]  # each letter by its first byte
+        if "€" in text or _TRIPLE.search(text):
+            return True
+    letter, look = _LETTER[b], _LOOKS[b]
+    if (look[1:] & letter[:-1]).any() or (_LEADS[b[:-1]] & letter[1:]).any():
+        return True
+    same = (b[1:] == b[:-1]) & letter[1:] & (b[1:] < 0x80)
+    if (same[1:] & same[:-1]).any():
+        return True
+    pair = letter[:-1] & _APART[b[1:]]
+    return bool((pair[1:-2] & pair[3:] & _SPACES[b[:-4]]).any()) if len(b) > 4 else False
+
+
 def symbols(text: str) -> np.ndarray:
     codes = _CODE[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
     return codes[codes != 255]
@@ -92,24 +122,20 @@ def _code(c: str) -> int:
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """What each character may stand for, with the channel's costs; '' is a dropped one."""
     out: list[list[tuple[str, float]]] = []
-    spaced = bool(regex.fullmatch(r"\p{L}(?:[ ._*\-]\p{L})+", stretch))
     for i, c in enumerate(stretch):
         if c in LOOK_ALIKES:
             repeated = i > 0 and stretch[i - 1] == c
             out.append([*((x, REPLACED) for x in LOOK_ALIKES[c]), (c, ITSELF), *([("", REPEATED)] if repeated else [])])
         elif c.isalpha():
             alone = i == 0 or stretch[i - 1] != c
-            run = stretch[max(0, i - 2) : i + 3]
-            out.append([(c, 0.0)] if alone or c * 3 not in run else [(c, 0.0), ("", REPEATED)])
-        elif spaced:
-            out.append([(" ", 0.0), ("", SPACED / (len(stretch) // 2))])
+            out.append([(c, 0.0)] if alone or c * 3 not in stretch[max(0, i - 2) : i + 3] else [(c, 0.0), ("", REPEATED)])
         else:
             out.append([(c, 0.0), ("", SPACED)])
     return out
 
 
-def decode(stretch: str, costs) -> str:
-    """The cheapest reading of a lower-case stretch (Viterbi; ties: the reading met first)."""
+def decode(stretch: str, costs) -> tuple[str, float]:
+    """The cheapest reading of a lower-case stretch, and its cost (Viterbi; ties: the reading met first)."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(SPACE, SPACE): (0.0, None)}
     for choices in lattice(stretch):
         following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -124,12 +150,43 @@ def decode(stretch: str, costs) -> str:
                 if state not in following or total < following[state][0]:
                     following[state] = (total, link)
         states = following
-    best = min(((cost + costs[a][b][SPACE], i) for i, ((a, b), (cost, _)) in enumerate(states.items())))[1]
-    link, out = list(states.values())[best][1], []
+    (a, b), (cost, link) = min(states.items(), key=lambda s: s[1][0] + costs[s[0][0]][s[0][1]][SPACE])
+    out, cost = [], cost + costs[a][b][SPACE]
     while link:
         out.append(link[0])
         link = link[1]
-    return "".join(reversed(out))
+    return "".join(reversed(out)), cost
+
+
+def decode_spaced(stretch: str, costs) -> str:
+    """Letters set apart are one word, or stay as they are: whichever the model finds cheaper; more separators than letters of a word cost the channel once."""
+    joined, together = decode(stretch[::2], costs)
+    a = b = SPACE
+    apart = 0.0
+    for c in (*stretch, " "):
+        k = _code(c) if c.isalpha() else SPACE
+        apart, a, b = apart + costs[a][b][k], b, k
+    return joined if together + SPACED < apart else stretch
+
+
+#: Lengths of word beginnings that may testify.
+BEGINNINGS = range(4, 9)
+
+
+def features(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+
+
+class _TokenWeights(dict):
+    """White-space delimited tokens to the summed weights of their words."""
+
+    def __init__(self, model: ToxicityModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> float:
+        self[token] = out = sum(map(self.model.weight, [token] if token.isalpha() else _NOT_WORD.sub(" ", token).split()))
+        return out
 
 
 @dataclass
@@ -142,24 +199,35 @@ class ToxicityModel:
     slope: float
     shift: float
     _known: dict[str, str] = field(default_factory=dict)
-    _words: dict[str, float] = field(default_factory=dict)
+    _tokens: _TokenWeights | None = None
     _lists: list | None = None
+    _heads: frozenset[str] = frozenset()
+
+    def __post_init__(self):
+        self.testify(self.weights)
+
+    def testify(self, weights: dict[str, float]) -> None:
+        self.weights, self._tokens = weights, None
+        self._heads = frozenset(f.rstrip("*")[: BEGINNINGS[0]] for f in weights)
 
     def __getstate__(self):
-        return {**self.__dict__, "_known": {}, "_words": {}, "_lists": None}
+        return {**self.__dict__, "_known": {}, "_tokens": None, "_lists": None}
 
     def restored(self, text: str) -> str:
         """The text in lower case with suspicious stretches replaced by their readings."""
+        text = text.lower()
+        if not suspicious(text):
+            return text
         self._lists = self._lists or self.costs.tolist()
-        return _SUSPICIOUS.sub(self._read, text.lower())
+        text = _SPACED.sub(lambda m: decode_spaced(m[0], self._lists), text)
+        return "".join([t if t.isspace() or t.rstrip(".,").isalpha() and not _TRIPLE.search(t) else self._read(t) for t in _TOKENS.split(text)])
 
-    def _read(self, m) -> str:
-        stretch = m[0]
-        if (out := self._known.get(stretch)) is None:
+    def _read(self, token: str) -> str:
+        if (out := self._known.get(token)) is None:
             if len(self._known) > REMEMBERED:
                 self._known.clear()
-            core = _EDGES.sub("", stretch)
-            out = self._known[stretch] = decode(core, self._lists) if core else ""
+            core = _EDGES.sub("", token) if _ANCHOR.search(token) else None
+            out = self._known[token] = token if core is None else decode(core, self._lists)[0]
         return out
 
     def words(self, text: str) -> list[str]:
@@ -167,17 +235,15 @@ class ToxicityModel:
 
     def evidence(self, text: str) -> float:
         """The log likelihood ratio of the text's words."""
-        known, total = self._words, 0.0
-        for w in self.words(text):
-            x = known.get(w)
-            if x is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                x = known[w] = self.weight(w)
-            total += x
-        return total
+        if self._tokens is None:
+            self._tokens = _TokenWeights(self)
+        elif len(self._tokens) > REMEMBERED:
+            self._tokens.clear()
+        return sum(map(self._tokens.__getitem__, self.restored(text).split()))
 
     def weight(self, word: str) -> float:
+        if word[: BEGINNINGS[0]] not in self._heads:
+            return self.plain
         found = [self.weights[f] for f in features(word) if f in self.weights]
         return max(found) if found else self.plain
 
@@ -186,14 +252,6 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-#: Lengths of word beginnings that may testify.
-BEGINNINGS = range(4, 9)
-
-
-def features(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", corpus: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from labelled rows; the character model from all texts of `corpus` (None: docs).
 
@@ -228,11 +286,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         expected = both[0][f] * share
         if c >= 4 and c > 3 * expected and (c - expected) ** 2 / (expected + 1) > 15:
             strong[f] = math.log((c + 1) / (expected + 1))
-    model.weights = strong
+    model.testify(strong)
     for w, c in counts[1].items():
         if any(f in strong for f in features(w)):
             excess += max(0.0, c - counts[0][w] * share)
     model.plain = math.log1p(-min(0.5, excess / tokens[1]))
+    model.testify(strong)
     x = np.array([sum(map(model.weight, words)) for words, _ in held])
     y = np.array([y for _, y in held], float)
     model.slope, model.shift = _calibrated(np.clip(x, -30, 30), y)
