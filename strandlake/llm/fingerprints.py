@@ -1,9 +1,8 @@
 """One-permutation MinHash with optimal densification and packed low-order bits.
 
 Every expression is native. A text's word shingles are hashed once; the hash's
-upper part names a bin, the smallest hash of a bin is its value. An empty bin takes
-the value of the non-empty bin that its own random order of bins ranks first, which
-is what drawing bins at random until one is filled gives. Of each value BITS
+upper part names a bin, the smallest hash of a bin is its value. An empty bin draws
+bins at random, the same for every text, until one is filled. Of each value BITS
 low-order bits are kept, and likeness corrects for bits that agree by chance.
 """
 
@@ -16,6 +15,8 @@ from pyspark.sql.window import Window
 from strandlake.llm._common import shuffle_width, words_of
 
 BINS, BITS, SHINGLE = 128, 8, 5
+#: Draws of an empty bin before it ranks the filled ones.
+PROBES = 6
 
 
 def shingle_hashes(words: Column, k: int = SHINGLE) -> Column:
@@ -24,45 +25,31 @@ def shingle_hashes(words: Column, k: int = SHINGLE) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(spaced)
 
 
-def fingerprint(hashes: Column, bins: int = BINS, bits: int = BITS) -> Column:
-    """The values of all bins (array of `bits`-bit ints), from shingle hashes; none: an empty array.
+def _bin(x: Column, bins: int) -> Column:
+    """The bin of a hash: its upper bits, numbered in the order in which signed hashes sort."""
+    return (F.shiftright(x, 64 - (bins.bit_length() - 1)) + bins // 2).cast("int")
 
-    bins has to be a power of two. hashes has to be a column, not an expression.
-    """
-    place = 64 - (bins.bit_length() - 1)
-    ordered = F.sort_array(hashes)  # by bin first: the sign bit only turns the order of the halves
-
-    def least(h: Column) -> Column:
-        return F.filter(h, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, place) != F.shiftrightunsigned(F.get(h, i - 1), place)))
 
-    def filled(kept: Column) -> Column:
-        return _densified(kept, bins, place, bits)
+def _low(x: Column, bits: int) -> Column:
+    return x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
-    return _let(ordered, lambda h: _let(least(h), filled))
 
+def _densified(kept: Column, filled: Column, bins: int, bits: int) -> Column:
+    """The values of all bins from the least hash of each filled bin (kept) and those bins' numbers (filled)."""
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    def value(i: Column) -> Column:
+        at = F.array_position(filled, i)
+        # an empty bin draws bins until one is filled; after PROBES misses it takes the filled bin that its own order ranks first, a draw just as even
+        probes = F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda t: F.array_position(filled, F.pmod(F.xxhash64(i, t), F.lit(bins)).cast("int")))
+        hit = F.get(F.filter(probes, lambda p: p > 0), F.lit(0))
+        ranked = F.array_min(F.transform(kept, lambda x: F.struct(F.xxhash64(i, _bin(x, bins)).alias("order"), x.alias("x"))))["x"]
+        return _low(F.when(at > 0, F.get(kept, (at - 1).cast("int"))).otherwise(F.coalesce(F.get(kept, (hit - 1).cast("int")), ranked)), bits)
 
-
-def _densified(kept: Column, bins: int, place: int, bits: int) -> Column:
-    """kept: the least hash of each filled bin."""
-    at = lambda x: F.shiftrightunsigned(x, place).cast("int")
-    low = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    # the bins in order, each with its value or -1
-    slots = F.aggregate(
-        F.sort_array(F.transform(kept, lambda x: F.struct(at(x).alias("b"), low(x).alias("v")))),
-        F.array().cast("array<int>"),
-        lambda out, x: F.concat(out, F.array_repeat(F.lit(-1), x["b"] - F.size(out)), F.array(x["v"])),
+    return (
+        F.when(F.size(kept) == 0, F.array().cast("array<int>"))
+        .when(F.size(kept) == bins, F.transform(kept, lambda x: _low(x, bits)))
+        .otherwise(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), value))
     )
-    slots = _let(slots, lambda out: F.concat(out, F.array_repeat(F.lit(-1), F.lit(bins) - F.size(out))))
-
-    def drawn(i: Column) -> Column:
-        best = F.array_min(F.transform(kept, lambda x: F.struct(F.xxhash64(i, at(x)).alias("order"), low(x).alias("v"))))
-        return best["v"]
-
-    return F.when(F.size(kept) == 0, F.array().cast("array<int>")).otherwise(F.transform(slots, lambda v, i: F.when(v >= 0, v).otherwise(drawn(i))))
 
 
 def packed(values: Column, bits: int = BITS) -> Column:
@@ -79,12 +66,16 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(corrected)
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the fingerprint of whole texts (null: empty) as an array of bin values; no shuffle."""
-    body = F.col(f"`{text}`")
-    df = df.withColumn("_words", words_of(body))
-    df = df.withColumn("_hashes", shingle_hashes(F.col("_words")))
-    return df.withColumn(out, fingerprint(F.col("_hashes"))).drop("_words", "_hashes")
+def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = BINS, bits: int = BITS) -> DataFrame:
+    """Add the fingerprint of whole texts (null: empty): an array of `bits`-bit values of all bins, empty for texts without a word.
+
+    bins has to be a power of two. No shuffle; each step is a projection of its own, so that none is computed twice.
+    """
+    df = df.withColumn("_words", words_of(F.col(f"`{text}`")))
+    df = df.withColumn("_sorted", F.sort_array(shingle_hashes(F.col("_words"))))
+    first = F.filter("_sorted", lambda x, i: (i == 0) | (_bin(x, bins) != _bin(F.get("_sorted", i - 1), bins)))
+    df = df.withColumn("_kept", first).withColumn("_filled", F.transform("_kept", lambda x: _bin(x, bins)))
+    return df.withColumn(out, _densified(F.col("_kept"), F.col("_filled"), bins, bits)).drop("_words", "_sorted", "_kept", "_filled")
 
 
 def with_next(df: DataFrame, key: str, carried: list[str]) -> DataFrame:
