@@ -14,7 +14,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 def escaped(text: Column) -> Column:
     """`<`, any backslashes, `|` gets one more backslash: no mark can occur in the result, and unescaped() gives the text back."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\\\$1|")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
 
 
 def unescaped(text: Column) -> Column:

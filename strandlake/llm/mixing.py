@@ -80,11 +80,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: F
     rows = written(rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
     sums = sorted(((r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     goals = targets([n for _, n in sums], [weights[i % len(weights)] for i in range(len(sums))], epochs, cap) if sums else []
-    wanted = sum(goals)
+    wanted = epochs * sum(n for _, n in sums)
     block = block or int(max(1, min(1024, wanted // (1 << 20))))
-    table, bounds, so_far = [], [], 0.0
+    table, bounds, so_far = [], [], Fraction(0)
     for i, ((name, size), goal) in enumerate(zip(sums, goals, strict=True)):
-        so_far += goal
+        so_far += Fraction(goal)
         bounds.append(int(so_far / wanted * RANGE) if wanted else 0)
         table.append({"s": i, "name": name, "source_size": size, "target": goal, "blocks": -(-size // block)})
     known = _literal_table(spark, table, "s: int, name: string, source_size: bigint, target: double, blocks: bigint")
