@@ -28,7 +28,7 @@ from strandlake.llm._common import shuffle_width
 
 WIDTH, KMER = 50, 20
 #: Bytes of a block's texts that are hashed at once; places inside have to fit the low bits of the sorting keys.
-TILE, PLACE = 1 << 20, np.uint64((1 << 24) - 1)
+TILE, PLACE = 1 << 18, np.uint64((1 << 24) - 1)
 #: A trigger in so many blocks is common: its strings are exchanged one by one under hashes of their own, so that the many
 #: different continuations of a common passage don't meet in one task.
 COMMON_BLOCKS = 1024
@@ -73,11 +73,11 @@ def phrases(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     n = len(body) - WIDTH + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    edge = np.zeros(len(body) + 1, np.int32)
+    edge = np.zeros(len(body) + 1, np.int8)
     long = ends - starts >= WIDTH
     np.add.at(edge, starts[long], 1)
     np.add.at(edge, ends[long] - WIDTH + 1, -1)
-    whole = np.cumsum(edge)[:n] > 0  # a string of one text starts here
+    whole = np.cumsum(edge, dtype=np.int8)[:n] > 0  # a string of one text starts here
     breaks = np.zeros(n, bool)
     breaks[starts[long]] = True
     for a in range(0, n, TILE):
@@ -105,7 +105,7 @@ def phrases(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 class Block:
     """The texts of a block in ascending order of id, as one body, and their phrases."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, bits: int):
         ids = [FIRST if i is None else i for i in table.column("doc_id").to_pylist()]
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
@@ -115,7 +115,9 @@ class Block:
         self.starts = self.ends - np.array([len(t) for t in texts], dtype=np.int64)
         self.raw = b"".join(texts)
         self.body = np.frombuffer(self.raw, np.uint8)
+        del texts
         self.hashes, self.first, self.last = phrases(self.body, self.starts, self.ends)
+        self.hashes = _sent(self.hashes, bits)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
     def shared(self, hashes: np.ndarray) -> np.ndarray:
@@ -158,6 +160,30 @@ def _bucketed(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(a, b)
 
 
+#: Bits of a trigger's hash that are sent besides the bucket's: those behind them. Triggers that agree in so many only make more candidates.
+SENT_BITS = 48
+
+
+def _packed(hashes: np.ndarray, bits: int) -> bytes:
+    """SENT_BITS of each hash behind the bucket's bits."""
+    low = hashes << np.uint64(bits) >> np.uint64(64 - SENT_BITS)
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT_BITS // 8].tobytes()
+
+
+def _unpacked(blob, bucket: int, bits: int) -> np.ndarray:
+    """The hashes, zero where nothing was sent."""
+    part = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, SENT_BITS // 8)
+    whole = np.zeros((len(part), 8), np.uint8)
+    whole[:, : SENT_BITS // 8] = part
+    return (whole.view("<u8").reshape(-1) << np.uint64(64 - SENT_BITS) >> np.uint64(bits)) | np.uint64(bucket << (64 - bits))
+
+
+def _sent(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """What _unpacked() gives back."""
+    spare = np.uint64(max(0, 64 - SENT_BITS - bits))
+    return hashes >> spare << spare
+
+
 # what the passes exchange: packed arrays from one block to a bucket (or back), as columns a to e of one kind
 MESSAGE = "bucket int, block int, kind int, a binary, b binary, c binary, d binary, e binary"
 TRIGGERS, PHRASES, STRINGS, SHARED, COMMON, LEAST, LEAST_STRINGS = range(7)
@@ -185,7 +211,7 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
 
 def _send_triggers(bits: int):
     def run(key, table):
-        block = Block(table)
+        block = Block(table, bits)
         order = np.lexsort((block.doc, block.hashes))
         hashes, docs = block.hashes[order], block.doc[order]
         heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
@@ -193,15 +219,15 @@ def _send_triggers(bits: int):
         if len(heads):  # rows with one id are one document
             several &= block.ids[docs[heads]] != block.ids[docs[np.concatenate([heads[1:], [len(hashes)]]) - 1]]
         hashes = hashes[heads]
-        return _messages([(u, key[0].as_py(), TRIGGERS, hashes[s].tobytes(), several[s].astype(np.uint8).tobytes()) for u, s in _bucketed(hashes, bits)])
+        return _messages([(u, key[0].as_py(), TRIGGERS, _packed(hashes[s], bits), several[s].astype(np.uint8).tobytes()) for u, s in _bucketed(hashes, bits)])
 
     return run
 
 
-def _answer_triggers(common: int):
+def _answer_triggers(bits: int, common: int):
     def run(key, table):
-        told = _told(table, TRIGGERS)
-        parts = [_array(m["a"], np.uint64) for m in told]
+        told, bucket = _told(table, TRIGGERS), key[0].as_py()
+        parts = [_unpacked(m["a"], bucket, bits) for m in told]
         hashes = _joined(parts, np.uint64)
         several = _joined([_array(m["b"], np.uint8) for m in told], np.uint8).astype(np.int64)
         order = np.argsort(hashes, kind="stable")
@@ -215,24 +241,24 @@ def _answer_triggers(common: int):
             s = state[at : at + len(own)]
             at += len(own)
             if s.any():
-                rows.append((0, m["block"].as_py(), SHARED, own[s == 1].tobytes(), own[s == 2].tobytes()))
+                rows.append((bucket, m["block"].as_py(), SHARED, _packed(own[s == 1], bits), _packed(own[s == 2], bits)))
         return _messages(rows)
 
     return run
 
 
-def _chosen(block: Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(block: Block, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The block's phrases that other documents may have, and those of common triggers."""
     shared = _told(told, SHARED)
-    return tuple(block.shared(np.sort(_joined([_array(m[c], np.uint64) for m in shared], np.uint64))) for c in "ab")
+    return tuple(block.shared(np.sort(_joined([_unpacked(m[c], m["bucket"].as_py(), bits) for m in shared], np.uint64))) for c in "ab")
 
 
 def _send_phrases(bits: int):
     def run(key, docs, told):
         if not docs.num_rows or not told.num_rows:
             return _messages([])
-        block, rows = Block(docs), []
-        few, many = _chosen(block, told)
+        block, rows = Block(docs, bits), []
+        few, many = _chosen(block, told, bits)
         texts, of, low, high = block.entries(few)
         owner = np.empty(len(texts), np.uint64)
         owner[of] = block.hashes[few]
@@ -241,7 +267,9 @@ def _send_phrases(bits: int):
         for u, s in _bucketed(owner[order], bits):
             own = order[s]
             held = [texts[i] for i in own.tolist()]
-            rows.append((u, name, PHRASES, b"".join(held), np.array([len(x) for x in held], np.uint8).tobytes(), low[own].tobytes(), high[own].tobytes(), own.astype(np.uint32).tobytes()))
+            several = low[own] != high[own]
+            sizes = np.array([len(x) for x in held], np.uint8) | (several.astype(np.uint8) << 7)
+            rows.append((u, name, PHRASES, b"".join(held), sizes.tobytes(), low[own].tobytes(), high[own][several].tobytes(), own.astype(np.uint32).tobytes()))
         _, _, hashes, _, low, high = block.strings(many)
         for u, s in _bucketed(hashes, bits):
             rows.append((u, name, STRINGS, hashes[s].tobytes(), low[s].tobytes(), high[s].tobytes(), np.arange(s.start, s.stop, dtype=np.uint32).tobytes()))
@@ -254,8 +282,8 @@ def least_documents(body: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.nda
     """For the strings at each place, the least id of equal ones: runs of equal suffixes in the order of the suffix array."""
     strings = np.lib.stride_tricks.sliding_window_view(body, WIDTH)[at].reshape(-1).view(f"S{WIDTH}")
     order = np.argsort(strings)
-    ranked = strings[order]
-    heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    strings = strings[order]
+    heads = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
     out = np.empty(len(at), np.int64)
     out[order] = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.concatenate([heads, [len(at)]])))
     return out
@@ -268,7 +296,7 @@ def _answer_phrases(key, table):
         low: list[int] = []
         of: list[np.ndarray] = []
         for m in told:
-            raw, sizes = m["a"].as_buffer().to_pybytes(), _array(m["b"], np.uint8).astype(np.int64)
+            raw, sizes = m["a"].as_buffer().to_pybytes(), (_array(m["b"], np.uint8) & 0x7F).astype(np.int64)
             ends = np.cumsum(sizes)
             numbers = []
             for a, b, d in zip((ends - sizes).tolist(), ends.tolist(), _array(m["c"], np.int64).tolist(), strict=True):
@@ -291,7 +319,9 @@ def _answer_phrases(key, table):
             entry = np.repeat(np.arange(len(numbers)), c)
             offset = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             value = least[np.repeat(base[numbers], c) + offset]
-            use = value < np.repeat(_array(m["d"], np.int64), c)
+            high, several = _array(m["c"], np.int64).copy(), _array(m["b"], np.uint8) > 0x7F
+            high[several] = _array(m["d"], np.int64)
+            use = value < np.repeat(high, c)
             head = use.copy()
             head[1:] &= (entry[1:] != entry[:-1]) | (value[1:] != value[:-1]) | ~use[:-1]
             tail = use.copy()
@@ -314,9 +344,9 @@ def _answer_phrases(key, table):
     return _messages(rows)
 
 
-def _repeated(block: Block, told: pa.Table) -> np.ndarray:
+def _repeated(block: Block, told: pa.Table, bits: int) -> np.ndarray:
     """Places of the block where a string starts that a document with a smaller id has."""
-    few, many = _chosen(block, told)
+    few, many = _chosen(block, told, bits)
     out = []
     if runs := _told(told, LEAST):
         texts, of, _, _ = block.entries(few)
@@ -340,15 +370,15 @@ def _repeated(block: Block, told: pa.Table) -> np.ndarray:
     return _joined(out, np.int64)
 
 
-def _finish(carried: list[str], with_kept: bool):
+def _finish(bits: int, carried: list[str], with_kept: bool):
     def run(key, docs, told):
-        block = Block(docs)
-        edge = np.zeros(len(block.body) + 1, np.int32)
+        block = Block(docs, bits)
+        edge = np.zeros(len(block.body) + 1, np.int8)  # at most WIDTH strings cover a byte
         if told.num_rows:
-            places = np.unique(_repeated(block, told))
+            places = np.unique(_repeated(block, told, bits))
             np.add.at(edge, places, 1)
             np.add.at(edge, places + WIDTH, -1)
-        gone = np.cumsum(edge)[:-1] > 0
+        gone = np.cumsum(edge, dtype=np.int8)[:-1] > 0
         rows = []
         for i, (a, b) in enumerate(zip(block.starts.tolist(), block.ends.tolist(), strict=True)):
             g = gone[a:b]
@@ -379,14 +409,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`") for c in carried))
     blocks = blocks or max(1, 4 * docs.rdd.getNumPartitions())
-    bits = max(1, (4 * shuffle_width(spark) - 1).bit_length())
+    bits = max(1, (8 * shuffle_width(spark) - 1).bit_length())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     held = rows.groupBy("block")
     triggers = held.applyInArrow(_send_triggers(bits), MESSAGE)
-    shared = triggers.groupBy("bucket").applyInArrow(_answer_triggers(common), MESSAGE)
+    shared = triggers.groupBy("bucket").applyInArrow(_answer_triggers(bits, common), MESSAGE)
     sent = held.cogroup(shared.groupBy("block")).applyInArrow(_send_phrases(bits), MESSAGE)
     least = sent.groupBy("bucket").applyInArrow(_answer_phrases, MESSAGE)
     told = shared.unionByName(least)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     result = ["doc_id long", *(["text string"] if with_kept else []), *(f"`{c}` {kinds[c]}" for c in carried), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary, kept_text string"] if with_kept else [])]
-    return held.cogroup(told.groupBy("block")).applyInArrow(_finish(list(carried), with_kept), ", ".join(result))
+    return held.cogroup(told.groupBy("block")).applyInArrow(_finish(bits, list(carried), with_kept), ", ".join(result))
