@@ -195,8 +195,74 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in SQL}
+    return {name: globals()[name] for name in [*SQL, *BITSTREAM]}
 
 
 def oracle_sql() -> dict[str, str]:
     return SQL
+
+
+# queries on bitstreams that they build themselves; tables are stand-ins, so these check the tools, not real content
+
+
+def _demo_chunks(spark: SparkSession) -> DataFrame:
+    from strandlake.kernel import fixtures
+    from strandlake.sources import containers
+
+    files = [(f"demo-{i}", bytearray(fixtures.demo_stream())) for i in range(3)] + [("broken", bytearray(fixtures.demo_stream()[:-5])), ("empty", bytearray())]
+    return containers.chunks_of(spark.createDataFrame(files, "stream_id string, content binary"))
+
+
+def ivf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _demo_chunks(spark).select("stream_id", "chunk_idx", "pts", F.octet_length("data").alias("n_bytes"), "error")
+
+
+def ivf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.sources import containers
+
+    return containers.ivf_files(_demo_chunks(spark)).select("stream_id", F.md5("content").alias("digest"))
+
+
+def frame_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.plans import streams
+
+    return streams.frame_catalog(_demo_chunks(spark)).drop("frame")
+
+
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.plans import streams
+
+    return streams.stream_summary(streams.frame_catalog(_demo_chunks(spark)))
+
+
+def frame_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.plans import streams
+
+    return streams.frame_headers(streams.frame_catalog(_demo_chunks(spark)))
+
+
+def decoded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.plans import streams
+
+    return streams.decode(streams.frame_catalog(_demo_chunks(spark)), planes=False)
+
+
+def frame_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.plans import streams
+
+    return streams.frame_digests(streams.decode(streams.frame_catalog(_demo_chunks(spark)), planes=False))
+
+
+def block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.plans import streams
+
+    return streams.block_modes(streams.frame_catalog(_demo_chunks(spark)))
+
+
+def pictures_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.plans import streams
+
+    return streams.pictures_png(streams.decode(streams.frame_catalog(_demo_chunks(spark))))
+
+
+BITSTREAM = ["ivf_chunks", "ivf_round_trip", "frame_catalog", "stream_summary", "frame_headers", "decoded_frames", "frame_digests", "block_modes", "pictures_png"]
