@@ -35,7 +35,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.2),
     Rule("stop_words", "n_stop_words", "n_words", 0.05, None),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
     Rule("repeated_words", "n_repeat_words", "n_words", None, 0.5),
 )
 MIN_WORDS = 50
