@@ -97,3 +97,24 @@ def little_endian(data: Column, at: int, size: int) -> Column:
     raw = F.hex(F.substring(data, at + 1, size))
     turned = F.concat(*(F.substring(raw, 2 * (size - i) - 1, 2) for i in range(size)))
     return F.conv(turned, 16, 10).cast("decimal(20,0)")
+
+
+def effective_context(intra: Column, resilient: Column, coded: Column) -> Column:
+    """The context slot that a frame uses: the first one if it starts afresh."""
+    return F.when(intra | resilient, 0).otherwise(coded)
+
+
+def scaled_mv(mv: Column, bias: Column, ref_bias: Column) -> Column:
+    """A candidate of another reference, turned around where the sign biases differ."""
+    return F.when(bias != ref_bias, -mv).otherwise(mv)
+
+
+def precise_mv(row: Column, col: Column) -> Column:
+    """Whether a vector is small enough for the last bit of precision."""
+    return (F.shiftright(F.abs(row), 3) < 8) & (F.shiftright(F.abs(col), 3) < 8)
+
+
+def mean_mv(total: Column, n: int) -> Column:
+    """A sum of n components over n, rounded to the nearest with halves away from zero."""
+    size = F.floor((F.abs(total) + n // 2) / n).cast("int")
+    return F.when(total < 0, -size).otherwise(size)

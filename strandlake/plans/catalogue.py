@@ -123,6 +123,29 @@ def gop_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framestate.group_of_pictures(t, "user_id", ["event_id"], "key").select("event_id", "gop_id")
 
 
+def prev_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 3).alias("width"), (F.col("event_id") % 2).alias("height"), (F.col("event_type") != "click").alias("show_frame"), (F.col("event_id") % 7 == 0).alias("frame_is_intra"), (F.col("event_id") % 5 == 0).alias("error_resilient"))
+    return framestate.uses_previous_motion(t, "user_id", ["event_id"]).select("event_id", "use_prev_mvs")
+
+
+def mv_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_partkey") * 13) % 301 - 150).cast("int").alias("a"), ((F.col("l_suppkey") * 17) % 401 - 200).cast("int").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    context = arith.effective_context(a % 4 == 0, b % 3 == 0, F.col("l_linenumber") % 4)
+    return t.select("l_orderkey", "l_linenumber", arith.scaled_mv(a, a % 2, b % 2).alias("scaled"), arith.precise_mv(a, b).alias("precise"), arith.mean_mv(a + b, 2).alias("mean2"), arith.mean_mv(a + b, 4).alias("mean4"), context.alias("context"))
+
+
+def dequant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantizer steps by lookup; the table has 768 rows whatever the data, and Spark sees its size."""
+    from strandlake.kernel.tables import standin
+
+    t, steps = _table(spark, sf_dir, "part"), standin()
+    rows = [(d, i, steps.dc_quant[d][i], steps.ac_quant[d][i]) for d in range(3) for i in range(256)]
+    table = spark.createDataFrame(rows, "depth int, q int, dc int, ac int")
+    t = t.select("p_partkey", (F.col("p_partkey") % 3).cast("int").alias("depth"), arith.clip3(0, 255, (F.col("p_partkey") * 7 % 300 - 20).cast("int")).alias("q"))
+    return t.join(table, ["depth", "q"]).select("p_partkey", "q", "dc", "ac")
+
+
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
 
@@ -186,6 +209,17 @@ SQL = {
     "color_carry": """
         SELECT event_id, coalesce(last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'none') AS config_now FROM events""",
     "gop_ids": "SELECT event_id, sum(CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS gop_id FROM events",
+    "prev_motion": """
+        SELECT event_id, coalesce(event_id % 7 <> 0 AND event_id % 5 <> 0 AND lag(event_id % 3) OVER w = event_id % 3 AND lag(event_id % 2) OVER w = event_id % 2 AND lag(event_type <> 'click') OVER w, false) AS use_prev_mvs
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    "mv_tools": """
+        SELECT l_orderkey, l_linenumber, CASE WHEN a % 2 <> b % 2 THEN -a ELSE a END AS scaled, (abs(a) >> 3) < 8 AND (abs(b) >> 3) < 8 AS precise,
+               CASE WHEN a + b < 0 THEN (a + b - 1) // 2 ELSE (a + b + 1) // 2 END AS mean2, CASE WHEN a + b < 0 THEN (a + b - 2) // 4 ELSE (a + b + 2) // 4 END AS mean4,
+               CASE WHEN a % 4 = 0 OR b % 3 = 0 THEN 0 ELSE l_linenumber % 4 END AS context
+        FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 13 % 301 - 150)::INT AS a, (l_suppkey * 17 % 401 - 200)::INT AS b FROM lineitem)""",
+    "dequant": """
+        SELECT p_partkey, q, (4 + q) << (2 * d) AS dc, (4 + q + q // 4) << (2 * d) AS ac
+        FROM (SELECT p_partkey, (p_partkey % 3)::INT AS d, greatest(0, least(255, (p_partkey * 7 % 300 - 20)::INT)) AS q FROM part)""",
     "digest": "SELECT doc_id, md5(text) AS digest FROM documents",
     "bt601": """
         WITH t AS (SELECT l_orderkey, l_linenumber, 1.164::DOUBLE * ((l_orderkey % 256)::INT - 16) AS c, (l_partkey % 256)::INT - 128 AS d, (l_suppkey % 256)::INT - 128 AS e FROM lineitem)
@@ -217,6 +251,15 @@ def ivf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _demo_chunks(spark).select("stream_id", "chunk_idx", "pts", F.octet_length("data").alias("n_bytes"), "error")
 
 
+def ivf_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header fields of files by native byte slicing."""
+    from strandlake.kernel import fixtures
+
+    files = spark.createDataFrame([("demo", bytearray(fixtures.demo_stream()))], "stream_id string, content binary")
+    fields = {"header_length": (6, 2), "width": (12, 2), "height": (14, 2), "tb_den": (16, 4), "tb_num": (20, 4), "frame_count": (24, 4)}
+    return files.select("stream_id", *(arith.little_endian(F.col("content"), at, size).alias(name) for name, (at, size) in fields.items()))
+
+
 def ivf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.sources import containers
 
@@ -265,4 +308,4 @@ def pictures_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.pictures_png(streams.decode(streams.frame_catalog(_demo_chunks(spark))))
 
 
-BITSTREAM = ["ivf_chunks", "ivf_round_trip", "frame_catalog", "stream_summary", "frame_headers", "decoded_frames", "frame_digests", "block_modes", "pictures_png"]
+BITSTREAM = ["ivf_headers", "ivf_chunks", "ivf_round_trip", "frame_catalog", "stream_summary", "frame_headers", "decoded_frames", "frame_digests", "block_modes", "pictures_png"]
