@@ -208,7 +208,7 @@ SQL = {
         SELECT event_id, slot, last_value(w IGNORE NULLS) OVER (PARTITION BY user_id, slot ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM s""",
     "color_carry": """
         SELECT event_id, coalesce(last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'none') AS config_now FROM events""",
-    "gop_ids": "SELECT event_id, sum(CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS gop_id FROM events",
+    "gop_ids": "SELECT event_id, (sum(CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS gop_id FROM events",
     "prev_motion": """
         SELECT event_id, coalesce(event_id % 7 <> 0 AND event_id % 5 <> 0 AND lag(event_id % 3) OVER w = event_id % 3 AND lag(event_id % 2) OVER w = event_id % 2 AND lag(event_type <> 'click') OVER w, false) AS use_prev_mvs
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
