@@ -83,9 +83,9 @@ class Compressed:
     var_refs: tuple[int, int] = (0, 0)
 
 
-def parse_compressed(data: bytes, h: Header, start: Context) -> Compressed:
+def parse_compressed(data: bytes, h: Header, start: Context, opened=BoolDecoder) -> Compressed:
     """The compressed header: modes of the frame and its updated probabilities."""
-    d, c = BoolDecoder(data), copied(start)
+    d, c = opened(data), copied(start)
     tx_mode = 0
     if not h.lossless:
         tx_mode = d.literal(2)

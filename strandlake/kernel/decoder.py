@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from strandlake.kernel import contexts, loopfilter
-from strandlake.kernel.bits import BitstreamError
+from strandlake.kernel.bits import BitstreamError, BoolDecoder
 from strandlake.kernel.headers import Color, Header, Persistent, parse_header, split_superframe
 from strandlake.kernel.tables import Tables, standin
 from strandlake.kernel.tiles import FrameDecoder, Reference
@@ -45,8 +45,9 @@ def cut(planes: list[np.ndarray], width: int, height: int, color: Color) -> list
 class Decoder:
     """Decodes a stream's chunks in order; see decode_chunk(). An error leaves the state that the frame had reached."""
 
-    def __init__(self, tables: Tables | None = None):
-        self.tables = tables or standin()
+    def __init__(self, tables: Tables | None = None, opened=BoolDecoder):
+        """opened: makes the arithmetic decoder of some bytes."""
+        self.tables, self.opened = tables or standin(), opened
         self.kept = Persistent()
         self.contexts = [contexts.initial(self.tables) for _ in range(4)]
         self.color: Color | None = None
@@ -109,12 +110,12 @@ class Decoder:
                 self.contexts[h.context] = contexts.initial(self.tables)
         slot = 0 if fresh else h.context
         start = self.contexts[slot]
-        compressed = contexts.parse_compressed(data[h.size : end], h, start)
+        compressed = contexts.parse_compressed(data[h.size : end], h, start, self.opened)
         refs = [None] * 3 if h.intra else [self.slots[i] for i in h.refs]
         for r in refs:
             if r is not None and (r.color.bit_depth, r.color.sx, r.color.sy) != (color.bit_depth, color.sx, color.sy):
                 raise BitstreamError("RefFrameFormatMismatch")
-        frame = FrameDecoder(h, color, compressed, self.tables, refs, self.grid if moving else None, self.segments)
+        frame = FrameDecoder(h, color, compressed, self.tables, refs, self.grid if moving else None, self.segments, self.opened)
         frame.decode(data[end:])
         if h.lf_level:
             loopfilter.filter_frame(frame.planes, frame.grid, h, color.sx, color.sy, color.bit_depth)

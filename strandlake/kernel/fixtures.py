@@ -7,10 +7,11 @@ queries that need bytes to decode.
 from __future__ import annotations
 
 import copy
+import random
 import struct
 
 from strandlake.kernel import spec
-from strandlake.kernel.bits import BitWriter, BoolEncoder
+from strandlake.kernel.bits import BitstreamError, BitWriter, BoolDecoder, BoolEncoder
 from strandlake.kernel.headers import FEATURE_BITS, FILTER_CODES, SYNC, Header, tile_log2_bounds
 from strandlake.kernel.tables import Tables, standin
 
@@ -230,3 +231,76 @@ def demo_stream() -> bytes:
     from strandlake.kernel.headers import join_superframe
 
     return ivf([key, join_superframe([hidden, shown]), write_header(Header(show_existing=1)), key])
+
+
+class Chooser(BoolDecoder):
+    """Takes the place of the arithmetic decoder: draws each decision by its probability and notes it."""
+
+    def __init__(self, draw: random.Random):
+        self.draw, self.noted = draw, []
+
+    def read(self, p: int) -> int:
+        bit = int(self.draw.random() * 256 >= p)
+        self.noted.append((bit, p))
+        return bit
+
+    def slack(self) -> tuple[int, int]:
+        return 0, 0
+
+    def coded(self) -> bytes:
+        e = BoolEncoder()
+        for bit, p in self.noted:
+            e.write(bit, p)
+        return e.done()
+
+
+def random_stream(headers: list[Header], seed: int = 0, tables: Tables | None = None) -> tuple[list[bytes], list]:
+    """A sound frame for each header with random modes, vectors, coefficients and updates, and what decoding them gave while choosing.
+
+    Draws that the format forbids are drawn again.
+    """
+    from strandlake.kernel.decoder import Decoder
+
+    draw, frames, given, decoder = random.Random(seed), [], [], Decoder(tables)
+    for h in headers:
+        h = copy.copy(h)
+        tiles = 1 << h.tile_cols_log2 + h.tile_rows_log2
+        h.compressed_size = 1
+        blank = write_header(h) + b"\0" + b"\0\0\0\1\0" * (tiles - 1) + b"\0"
+        while True:
+            opened: list[Chooser] = []
+
+            def choose(_, opened=opened) -> Chooser:
+                opened.append(Chooser(draw))
+                return opened[-1]
+
+            trial = copy.deepcopy(decoder)
+            trial.opened = choose
+            try:
+                given.append(trial.decode_frame(blank))
+            except BitstreamError:
+                continue
+            break
+        decoder = trial
+        decoder.opened = BoolDecoder
+        frames.append(assembled(h, opened[0].coded(), [c.coded() for c in opened[1:]]))
+    return frames, given
+
+
+def demo_headers(width: int = 72, height: int = 40, **color) -> list[Header]:
+    """A key frame and inter frames with all tools: adaptation, compound and scaled prediction, segments, filter levels."""
+    from strandlake.kernel.headers import Color
+
+    profile = 0 if not color else 3 if color.get("bit_depth", 8) > 8 else 1
+    common = dict(profile=profile, show=True, resilient=False, parallel=False, refresh_context=True)
+    features = [[None] * 4 for _ in range(8)]
+    features[1], features[2], features[3] = [-20, 10, None, None], [None, None, spec.LAST, None], [None, None, spec.GOLDEN, 0]
+    inter = dict(common, key=False, refs=[0, 1, 2], sign_bias=[0, 0, 0, 1], high_precision=True)
+    return [
+        Header(**common, key=True, width=width, height=height, refresh=255, color=Color(**color), base_q=70, lf_level=20, sharpness=2),
+        Header(**inter, width=width, height=height, refresh=1, base_q=40, lf_level=33, seg_on=True, seg_update_map=True, tree_probs=[128] * 7, features=features),
+        Header(**inter, width=width, height=height, refresh=2, base_q=90, lf_level=8, deltas_on=True, ref_deltas=[2, 0, -2, -3], mode_deltas=[1, -1], seg_on=True, seg_update_map=True, seg_temporal=True, tree_probs=[100] * 7, pred_probs=[90] * 3, features=features),
+        Header(**inter, width=width - 16, height=height - 8, refresh=4, base_q=0, interp_filter=2),
+        Header(**dict(common, show=False), intra_only=True, width=width, height=height, refresh=8, base_q=120, color=Color(8, 1) if not profile else Color(**color), reset_context=2, context=1),
+        Header(**inter, width=width, height=height, refresh=0, base_q=30, lf_level=63, context=2),
+    ]

@@ -70,8 +70,8 @@ def tile_start(tile: int, mis: int, log2: int) -> int:
 class FrameDecoder:
     """Decodes the tiles of one frame into planes and a grid of blocks."""
 
-    def __init__(self, h: Header, color: Color, compressed: Compressed, tables: Tables, refs: list[Reference | None], previous: list[list[Block]] | None, segments: np.ndarray):
-        self.h, self.color, self.c, self.tables, self.refs, self.previous, self.segments = h, color, compressed, tables, refs, previous, segments
+    def __init__(self, h: Header, color: Color, compressed: Compressed, tables: Tables, refs: list[Reference | None], previous: list[list[Block]] | None, segments: np.ndarray, opened=BoolDecoder):
+        self.h, self.color, self.c, self.tables, self.refs, self.previous, self.segments, self.opened = h, color, compressed, tables, refs, previous, segments, opened
         self.probs = {name: p.tolist() for name, p in compressed.context.items()}
         self.counts = new_counts(compressed.context)
         rows, cols = -(-h.mi_rows // 8) * 8, -(-h.mi_cols // 8) * 8
@@ -92,7 +92,7 @@ class FrameDecoder:
         for i, tile in enumerate(tile_bytes(data, rows * cols)):
             top, left = divmod(i, cols)
             self.left, self.right = (tile_start(left + k, h.mi_cols, h.tile_cols_log2) for k in (0, 1))
-            self.d = BoolDecoder(tile)
+            self.d = self.opened(tile)
             for row in range(tile_start(top, h.mi_rows, h.tile_rows_log2), tile_start(top + 1, h.mi_rows, h.tile_rows_log2), 8):
                 self.left_partition, self.left_predicted = [0] * 8, [0] * 8
                 self.left_nonzero = [[0] * 32 for _ in range(3)]

@@ -243,7 +243,8 @@ def _demo_chunks(spark: SparkSession) -> DataFrame:
     from strandlake.kernel import fixtures
     from strandlake.sources import containers
 
-    files = [(f"demo-{i}", bytearray(fixtures.demo_stream())) for i in range(3)] + [("broken", bytearray(fixtures.demo_stream()[:-5])), ("empty", bytearray())]
+    files = [(f"random-{i}", bytearray(fixtures.ivf(fixtures.random_stream(fixtures.demo_headers(), i)[0], 72, 40))) for i in range(3)]
+    files += [("demo", bytearray(fixtures.demo_stream()))] + [("broken", bytearray(fixtures.demo_stream()[:-5])), ("empty", bytearray())]
     return containers.chunks_of(spark.createDataFrame(files, "stream_id string, content binary"))
 
 

@@ -250,5 +250,29 @@ def test_random_tiles_return(seed):
             pass
 
 
+@pytest.mark.parametrize("seed, color", [(0, {}), (1, {}), (2, {"bit_depth": 10, "sx": 0, "sy": 0}), (3, {"bit_depth": 12}), (4, {"sx": 0, "sy": 0}), (5, {"sx": 1, "sy": 0}), (6, {"sx": 0, "sy": 1})])
+def test_random_streams_round_trip(seed, color):
+    """Streams with every tool decode to what their choices gave."""
+    frames, given = fixtures.random_stream(fixtures.demo_headers(**color), seed)
+    d, used = Decoder(), set()
+    for data, want in zip(frames, given, strict=True):
+        got = d.decode_frame(data)
+        assert (got.picture is None) == (want.picture is None)
+        assert got.picture is None or got.picture.i420() == want.picture.i420()
+        used |= {b.mode for line in want.blocks for b in line if b}
+    assert len(used) > 4
+
+
+def test_tiles_and_their_order():
+    h = fixtures.key_header(520, 136, resilient=False, parallel=False, refresh_context=True, base_q=50, lf_level=30, tile_cols_log2=1, tile_rows_log2=1)
+    frames, given = fixtures.random_stream([h], 9)
+    assert Decoder().decode_frame(frames[0]).picture.i420() == given[0].picture.i420()
+
+
 def test_standin_shapes():
     assert standin().pareto_probs(2) == [100] * 8
+
+
+def test_random_streams_use_all_modes():
+    used = {(b.mode, b.size < spec.B8, len([r for r in b.refs if r])) for seed in range(8) for d in fixtures.random_stream(fixtures.demo_headers(136, 104), seed)[1] for line in d.blocks for b in line if b}
+    assert {m for m, *_ in used} == set(range(14)) and {n for *_, n in used} == {0, 1, 2} and {s for _, s, _ in used} == {False, True}

@@ -97,6 +97,17 @@ def test_decoding_agrees_with_one_decoder(chunks):
     assert {(b["mi_row"], b["mode"]) for b in blocks} == {(0, spec.V), (1, spec.H)}
 
 
+def test_random_streams_decode_side_by_side(spark):
+    made = {f"r{i}": fixtures.random_stream(fixtures.demo_headers() * 2, i) for i in range(3)}
+    files = spark.createDataFrame([(n, bytearray(fixtures.ivf(frames))) for n, (frames, _) in made.items()], "stream_id string, content binary")
+    catalog = streams.frame_catalog(source.chunks_of(files).repartition(4))
+    got = {(r["stream_id"], r["display_idx"]): r["md5"] for r in streams.frame_digests(streams.decode(catalog, planes=False)).collect()}
+    for n, (_, given) in made.items():
+        want = [hashlib.md5(d.picture.i420()).hexdigest() for d in given if d.picture]
+        assert [got[n, i] for i in range(len(want))] == want
+    assert catalog.select("stream_id", "gop_id").distinct().count() == 6
+
+
 def test_errors_end_a_stream(spark):
     key = fixtures.frame(fixtures.key_header(), lambda r, c: {})
     lost = fixtures.write_header(Header(show=True, resilient=True, width=16, height=16, refs=[0, 0, 0], interp_filter=0, compressed_size=9))
