@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import simhash
 from strandlake.llm._common import slices, unused_name
 
 #: Bound of the fit: labelled rows (in expectation), and bytes of a text that may be among them.
@@ -177,6 +178,14 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
+#: From which weight on a word is strong, and the bounds of what all words and strong words testify.
+STRONG, MOST_RATIO, MOST_STRONG = 3.5, 30.0, 5.0
+
+
+def bounded(weights: list[float]) -> tuple[float, float]:
+    return max(-MOST_RATIO, min(MOST_RATIO, sum(weights))), min(MOST_STRONG, sum(w for w in weights if w >= STRONG))
+
+
 class _TokenWeights(dict):
     """White-space delimited tokens to the summed weights of their words."""
 
@@ -197,6 +206,7 @@ class ToxicityModel:
     weights: dict[str, float]
     plain: float
     slope: float
+    strong_slope: float
     shift: float
     _known: dict[str, str] = field(default_factory=dict)
     _tokens: _TokenWeights | None = None
@@ -233,13 +243,14 @@ class ToxicityModel:
     def words(self, text: str) -> list[str]:
         return _NOT_WORD.sub(" ", self.restored(text)).split()
 
-    def evidence(self, text: str) -> float:
-        """The log likelihood ratio of the text's words."""
+    def evidence(self, text: str) -> tuple[float, float]:
+        """The log likelihood ratio of the text's words, and what strong words alone testify; both bounded."""
         if self._tokens is None:
             self._tokens = _TokenWeights(self)
         elif len(self._tokens) > REMEMBERED:
             self._tokens.clear()
-        return sum(map(self._tokens.__getitem__, self.restored(text).split()))
+        weights = list(map(self._tokens.__getitem__, self.restored(text).split()))
+        return bounded(weights)
 
     def weight(self, word: str) -> float:
         if word[: BEGINNINGS[0]] not in self._heads:
@@ -248,7 +259,8 @@ class ToxicityModel:
         return max(found) if found else self.plain
 
     def score(self, text: str | None) -> float:
-        x = self.slope * self.evidence(text or "") + self.shift
+        ratio, strong = self.evidence(text or "")
+        x = self.slope * ratio + self.strong_slope * strong + self.shift
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
@@ -260,19 +272,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     most SAMPLED_TEXT_BYTES bytes come to the driver. The ids' bound makes the broadcast
     safe; no text is shuffled.
     """
-    model = ToxicityModel(language_model(count_trigrams(docs if corpus is None else corpus, text)), {}, 0.0, 1.0, 0.0)
+    model = ToxicityModel(language_model(count_trigrams(docs if corpus is None else corpus, text)), {}, 0.0, 1.0, 0.0, 0.0)
     marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label).alias("y"))
     n = marked.count()
     if n > rows:
         marked = marked.where(F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
     texts = docs.where(F.octet_length(text) <= SAMPLED_TEXT_BYTES).select(F.col(id_col).alias("d"), F.col(text).alias("t"))
     sample = texts.join(F.broadcast(marked), F.col("d") == F.col("i")).select("t", "y").distinct().collect()
-    sample = sorted((r["t"], int(r["y"])) for r in sample)
-    counts, tokens = [Counter(), Counter()], [0, 0]
+    sample = _without_near_copies(sorted((r["t"], int(r["y"])) for r in sample))
+    counts, texts_with, tokens = [Counter(), Counter()], Counter(), [0, 0]
     held = [(model.words(t), y) for t, y in sample]
     for words, y in held:
-        counts[y].update(words)
+        own = Counter(words)
+        counts[y].update(own)
         tokens[y] += len(words)
+        if y:
+            texts_with.update({f for w in own for f in features(w)})
     if not tokens[0] or not tokens[1]:
         model.shift = -3.0 if not tokens[1] else 3.0
         return model
@@ -281,33 +296,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         for w, c in counts[y].items():
             for f in features(w):
                 both[y][f] += c
-    share, strong, excess = tokens[1] / tokens[0], {}, 0.0
+    share, telling, excess = tokens[1] / tokens[0], {}, 0.0
     for f, c in both[1].items():
         expected = both[0][f] * share
-        if c >= 4 and c > 3 * expected and (c - expected) ** 2 / (expected + 1) > 15:
-            strong[f] = math.log((c + 1) / (expected + 1))
-    model.testify(strong)
+        if c >= 4 and texts_with[f] >= 3 and c > 3 * expected and (c - expected) ** 2 / (expected + 1) > 15:
+            telling[f] = math.log((c + 1) / (expected + 1))
     for w, c in counts[1].items():
-        if any(f in strong for f in features(w)):
+        if any(f in telling for f in features(w)):
             excess += max(0.0, c - counts[0][w] * share)
     model.plain = math.log1p(-min(0.5, excess / tokens[1]))
-    model.testify(strong)
-    x = np.array([sum(map(model.weight, words)) for words, _ in held])
-    y = np.array([y for _, y in held], float)
-    model.slope, model.shift = _calibrated(np.clip(x, -30, 30), y)
+    model.testify(telling)
+    x = np.array([bounded([model.weight(w) for w in words]) for words, _ in held])
+    model.slope, model.strong_slope, model.shift = _calibrated(x, np.array([y for _, y in held], float))
     return model
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one feature, by Newton's method with a little shrinkage."""
-    design, w = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
+def _without_near_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The sample without texts whose SimHash lies within 4 bits of an earlier one's: copies would make chance words telling."""
+    seen, kept = np.zeros(len(sample), np.uint64), []
+    for t, y in sample:
+        fp = np.uint64(simhash.fingerprint(t) & (1 << 64) - 1)
+        if not kept or int(np.bitwise_count(seen[: len(kept)] ^ fp).min()) > 4:
+            seen[len(kept)] = fp
+            kept.append((t, y))
+    return kept
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression on both testimonies, by Newton's method with a little shrinkage; slopes aren't negative."""
+    design, w = np.column_stack([x, np.ones(len(x))]), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 0.1 * np.eye(2), design.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 0.1 * np.eye(3), design.T @ (y - p) - 0.1 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return float(max(w[0], 1e-3)), float(max(w[1], 0.0)), float(w[2])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", prefix: str = "toxic_", with_restored: bool = False) -> DataFrame:
