@@ -20,11 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._common import slices, unused_name
+from strandlake.llm._common import release_memory, slices, unused_name
 
 NEVER = 1 << 60
 #: Distinct pieces whose ids a worker remembers; the memory is emptied when it is full, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Pairs of tokens whose border is remembered, likewise.
+REMEMBERED_PAIRS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -110,7 +112,7 @@ class PrefixBpe:
             elif last[before] is not None:
                 pair = (last[before][1], match[1])
                 if (ok := fits.get(pair)) is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > REMEMBERED_PAIRS:
                         fits.clear()
                     ok = fits[pair] = self._border(*pair)
                 if ok:
@@ -186,5 +188,6 @@ def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "id
             kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != source]
             names = [n for n in batch.schema.names if n != source]
             yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(back, pa.string())], names=[*names, ids, decoded])
+        release_memory()
 
     return df.withColumn(source, F.col(f"`{text}`")).mapInArrow(run, schema)

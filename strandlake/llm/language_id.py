@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._common import slices, unused_name
+from strandlake.llm._common import release_memory, slices, unused_name
 
 UNDETERMINED = "und"
 #: Bounds of the fit: rows sampled per language (in expectation), bytes of a sampled text, bytes of a dictionary.
@@ -136,6 +136,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", margin:
             columns += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())]
             columns.append(pa.array([x[0] == UNDETERMINED or x[2] < margin for x in found], pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
+        del encoders
+        release_memory()
 
     return docs.withColumn(source, F.col(f"`{text}`")).mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._common import shuffle_width
+from strandlake.llm._common import release_memory, shuffle_width
 
 WIDTH, KMER = 50, 20
 #: Bytes of a block's texts that are hashed at once; places inside have to fit the low bits of the sorting keys.
@@ -219,6 +219,7 @@ def _send_triggers(bits: int):
         if len(heads):  # rows with one id are one document
             several &= block.ids[docs[heads]] != block.ids[docs[np.concatenate([heads[1:], [len(hashes)]]) - 1]]
         hashes = hashes[heads]
+        release_memory()
         return _messages([(u, key[0].as_py(), TRIGGERS, _packed(hashes[s], bits), several[s].astype(np.uint8).tobytes()) for u, s in _bucketed(hashes, bits)])
 
     return run
@@ -242,6 +243,7 @@ def _answer_triggers(bits: int, common: int):
             at += len(own)
             if s.any():
                 rows.append((bucket, m["block"].as_py(), SHARED, _packed(own[s == 1], bits), _packed(own[s == 2], bits)))
+        release_memory()
         return _messages(rows)
 
     return run
@@ -273,19 +275,38 @@ def _send_phrases(bits: int):
         _, _, hashes, _, low, high = block.strings(many)
         for u, s in _bucketed(hashes, bits):
             rows.append((u, name, STRINGS, hashes[s].tobytes(), low[s].tobytes(), high[s].tobytes(), np.arange(s.start, s.stop, dtype=np.uint32).tobytes()))
+        del block, texts
+        release_memory()
         return _messages(rows)
 
     return run
 
 
+#: Strings that are sorted whole at once; more are first dealt out by their first 8 bytes.
+SORTED = 1 << 17
+
+
 def least_documents(body: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For the strings at each place, the least id of equal ones: runs of equal suffixes in the order of the suffix array."""
-    strings = np.lib.stride_tricks.sliding_window_view(body, WIDTH)[at].reshape(-1).view(f"S{WIDTH}")
-    order = np.argsort(strings)
-    strings = strings[order]
-    heads = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
+    """For the strings at each place, the least id of equal ones: runs of equal suffixes in the order of the suffix array.
+
+    The order is made in two steps, by the first 8 bytes and then by all, so that only a
+    stretch of the strings is held at full width.
+    """
+    windows = np.lib.stride_tricks.sliding_window_view(body, WIDTH)
+    head = _words(body)[at].byteswap()
+    order = np.argsort(head)
+    head = head[order]
     out = np.empty(len(at), np.int64)
-    out[order] = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.concatenate([heads, [len(at)]])))
+    a = 0
+    while a < len(at):
+        b = len(at) if a + SORTED >= len(at) else int(np.searchsorted(head, head[a + SORTED], "right"))
+        part = order[a:b]
+        strings = windows[at[part]].reshape(-1).view(f"S{WIDTH}")
+        rank = np.argsort(strings)
+        strings, part = strings[rank], part[rank]
+        heads = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
+        out[part] = np.repeat(np.minimum.reduceat(ids[part], heads), np.diff(np.concatenate([heads, [len(part)]])))
+        a = b
     return out
 
 
@@ -341,6 +362,7 @@ def _answer_phrases(key, table):
             use = v < _array(m["c"], np.int64)
             if use.any():
                 rows.append((0, m["block"].as_py(), LEAST_STRINGS, _array(m["d"], np.uint32)[use].tobytes(), v[use].tobytes()))
+    release_memory()
     return _messages(rows)
 
 
@@ -389,6 +411,8 @@ def _finish(bits: int, carried: list[str], with_kept: bool):
         out = docs.take(pa.array(block.order, pa.int64())).select(["doc_id", *(["text"] if with_kept else []), *carried])
         for name, column, kind in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")[: 4 + 2 * with_kept], zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=False):
             out = out.append_column(name, pa.array(column, kind))
+        del block, rows
+        release_memory()
         return out
 
     return run
