@@ -9,7 +9,7 @@ import numpy as np
 from strandlake.kernel import contexts, loopfilter
 from strandlake.kernel.bits import BitstreamError, BoolDecoder
 from strandlake.kernel.headers import Color, Header, Persistent, parse_header, split_superframe
-from strandlake.kernel.tables import Tables, standin
+from strandlake.kernel.tables import Tables, load
 from strandlake.kernel.tiles import FrameDecoder, Reference
 
 MAX_SAMPLES = 1 << 27
@@ -47,7 +47,7 @@ class Decoder:
 
     def __init__(self, tables: Tables | None = None, opened=BoolDecoder):
         """opened: makes the arithmetic decoder of some bytes."""
-        self.tables, self.opened = tables or standin(), opened
+        self.tables, self.opened = tables or load(None), opened
         self.kept = Persistent()
         self.contexts = [contexts.initial(self.tables) for _ in range(4)]
         self.color: Color | None = None

@@ -13,7 +13,7 @@ import struct
 from strandlake.kernel import spec
 from strandlake.kernel.bits import BitstreamError, BitWriter, BoolDecoder, BoolEncoder
 from strandlake.kernel.headers import FEATURE_BITS, FILTER_CODES, SYNC, Header, tile_log2_bounds
-from strandlake.kernel.tables import Tables, standin
+from strandlake.kernel.tables import Tables, load
 
 
 def write_header(h: Header) -> bytes:
@@ -145,7 +145,7 @@ class TileWriter:
     """
 
     def __init__(self, h: Header, tables: Tables | None = None):
-        self.h, self.tables = h, tables or standin()
+        self.h, self.tables = h, tables or load(None)
 
     def write(self, left: int, right: int, plan) -> bytes:
         h, e = self.h, BoolEncoder()

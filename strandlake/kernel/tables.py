@@ -3,8 +3,8 @@
 A JSON object with kf_y_mode (10 x 10 x 9: above, left, node), coef (4 x 2 x 2 x 6 x 6 x 3),
 pareto (128 x 8), dc_quant and ac_quant (3 x 256: 8, 10, 12 bits) and scans (names
 default4, row4, col4, default8, row8, col8, default16, row16, col16, default32). The
-values are those of the public bitstream specification. standin() builds tables of the
-same shapes from rules; streams made and read with them test everything but these values.
+values are those of the public bitstream specification; tables.json beside this module holds
+them and is read where no path is given. standin() builds tables of the same shapes from rules.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from functools import lru_cache
+from importlib import resources
 
 SHAPES = {"kf_y_mode": (10, 10, 9), "coef": (4, 2, 2, 6, 6, 3), "pareto": (128, 8), "dc_quant": (3, 256), "ac_quant": (3, 256)}
 SCANS = {f"{kind}{n}": n for n in (4, 8, 16) for kind in ("default", "row", "col")} | {"default32": 32}
@@ -44,9 +45,9 @@ class Tables:
 
 @lru_cache(maxsize=8)
 def load(path: str | None) -> Tables:
-    """The tables of a file; None: stand-ins."""
+    """The tables of a file; None: the format's own, which come with this package."""
     if path is None:
-        return standin()
+        return Tables(**json.loads(resources.files(__package__).joinpath("tables.json").read_text(encoding="utf-8")))
     with open(path, encoding="utf-8") as f:
         return Tables(**json.load(f))
 

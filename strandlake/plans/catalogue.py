@@ -236,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
     return SQL
 
 
-# queries on bitstreams that they build themselves; tables are stand-ins, so these check the tools, not real content
+# queries on bitstreams that they build themselves; they are written with the format's tables, but hold no real content
 
 
 def _demo_chunks(spark: SparkSession) -> DataFrame:

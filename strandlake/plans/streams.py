@@ -120,7 +120,7 @@ def decode(catalog: DataFrame, planes: bool = True, tables: str | None = None, p
     """Decode frames: kind (new_shown, new_hidden, show_existing), info, frame, md5 of Y, U, V, error.
 
     tables: path of the format's tables (see kernel.tables), readable on every executor;
-    None: stand-ins. planes=False leaves the samples out and keeps the digests.
+    None: the shipped ones. planes=False leaves the samples out and keeps the digests.
 
     policy "stop_stream": groups of pictures decode side by side, and what follows a
     stream's first error is dropped, so a stream with an error ends with that chunk.
