@@ -6,6 +6,7 @@ whose dictionary encodes it in the fewest bytes. Narrow margins are rejected.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from strandlake.llm._common import release_memory, slices, unused_name
 
 UNDETERMINED = "und"
-#: Bounds of the fit: rows sampled per language (in expectation), bytes of a sampled text, bytes of a dictionary.
+#: Bounds of the fit: different texts sampled per language, bytes of a sampled text, bytes of a dictionary.
 ROWS_PER_LANGUAGE, SAMPLED_TEXT_BYTES, DICTIONARY_BYTES = 160, 1 << 15, 64 << 10
 #: Bytes of text that are encoded at once; texts are cut into pieces of this size so that the dictionary stays in reach to the end.
 PIECE = 1 << 12
@@ -76,23 +77,31 @@ class Encoders:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, text_bytes: int = SAMPLED_TEXT_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
     """Learn the dictionaries from labelled rows (null labels and texts don't count).
 
-    Languages are counted over all rows; of each, about `rows` texts of at most
-    `text_bytes` bytes, chosen by a hash of the text, come to the driver. Equal texts
-    are chosen together and used once. Texts fill a dictionary in order of their hash.
+    Different texts of at most `text_bytes` bytes are counted over all rows; of each
+    language the `rows` with the least hashes are used (all, where it has fewer). Copies
+    of a text change nothing: it comes to the driver once, with few more than `rows`
+    others. Texts fill a dictionary in order of their hash.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= text_bytes)).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("h", F.xxhash64("t"))
+    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count_distinct("h").alias("n")).collect()}
     if not counts:
         return LanguageModel([], [], [])
-    hashed = F.pmod(F.xxhash64("t"), F.lit(1 << 40))
-    wanted = F.lit(False)
-    for name, n in counts.items():
-        wanted = wanted | ((F.col("l") == name) & (F.col("h") < int(min(1.0, rows / n) * (1 << 40))))
-    sample: dict[str, dict[str, int]] = {}
-    for r in known.withColumn("h", hashed).where(wanted).collect():
-        sample.setdefault(r["l"], {})[r["t"]] = r["h"]
+    rank = F.pmod("h", F.lit(1 << 40))
+    sample: dict[str, list[tuple[int, str]]] = {}
+    shares = {name: min(1.0, (rows + 8 * math.sqrt(rows)) / n) for name, n in counts.items()}
+    while shares:
+        wanted = F.lit(False)
+        for name, share in shares.items():
+            wanted = wanted | ((F.col("l") == name) & (rank < int(share * (1 << 40))))
+        found: dict[str, list[tuple[int, str]]] = {}
+        for r in known.where(wanted).groupBy("l", "h").agg(F.min("t").alias("t")).collect():
+            found.setdefault(r["l"], []).append((r["h"] % (1 << 40), r["t"]))
+        sample |= {name: sorted(found.get(name, []))[:rows] for name in shares}
+        # hashes that leave fewer below the share than it was drawn for: a larger one
+        shares = {name: min(1.0, 4 * share) for name, share in shares.items() if len(sample[name]) < min(rows, counts[name])}
     languages = sorted(sample)
-    bodies = [b" ".join(normalized(t) for t in sorted(sample[name], key=lambda t: (sample[name][t], t))) for name in languages]
+    bodies = [b" ".join(normalized(t) for _, t in sample[name]) for name in languages]
     # the carriers' words come from behind the dictionaries, or from all of a body where it has no more
     pools = [(b[dictionary_bytes:].split() or b.split() or [b"a"]) for b in bodies]
     draw, carriers = random.Random(5), []
