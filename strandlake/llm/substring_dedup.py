@@ -30,7 +30,7 @@ WIDTH, KMER = 50, 20
 #: Bytes of a block's texts that are hashed at once; places inside have to fit the low bits of the sorting keys.
 TILE, PLACE = 1 << 18, np.uint64((1 << 24) - 1)
 #: A trigger in so many blocks is common: its strings are exchanged one by one under hashes of their own, so that the many
-#: different continuations of a common passage don't meet in one task.
+#: different continuations of a common passage don't meet in one task. Their bytes go along and decide what is equal.
 COMMON_BLOCKS = 1024
 FIRST = -(1 << 63)
 
@@ -64,6 +64,34 @@ def string_hashes(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _stirred(*(w[at + o] for o in (*range(0, WIDTH - 8, 8), WIDTH - 8)))
 
 
+def different(hashes: np.ndarray, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the WIDTH bytes from each place on, one index of each different string, in order of hash and bytes, and the number of each place among them.
+
+    Equal hashes are held against the bytes, a stretch at a time; where they differ, the bytes order them.
+    """
+    n = len(at)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(body, WIDTH)
+    order = np.argsort(hashes, kind="stable")
+    head = np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]])
+    clash = []
+    for a in range(0, n, SORTED):
+        same = np.flatnonzero(~head[a : a + SORTED]) + a
+        other = same[(windows[at[order[same]]] != windows[at[order[same - 1]]]).any(axis=1)]
+        clash += np.unique(hashes[order[other]]).tolist()
+    ranked = hashes[order] if clash else hashes
+    for h in set(clash):
+        a, b = np.searchsorted(ranked, np.uint64(h), "left"), np.searchsorted(ranked, np.uint64(h), "right")
+        strings = windows[at[order[a:b]]].reshape(-1).view(f"S{WIDTH}")
+        rank = np.argsort(strings, kind="stable")
+        order[a:b], strings = order[a:b][rank], strings[rank]
+        head[a + 1 : b] = strings[1:] != strings[:-1]
+    of = np.empty(n, np.int64)
+    of[order] = np.cumsum(head) - 1
+    return order[head], of
+
+
 def phrases(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of the trigger, first and last start of owned strings, for every phrase of the texts body[starts:ends].
 
@@ -134,13 +162,14 @@ class Block:
         of = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(self.first[which].tolist(), (self.last[which] + WIDTH).tolist(), strict=True)), np.int64, len(which))
         return list(number), of, *_extremes(of, self.ids[self.doc[which]], len(number))
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All strings of the phrases `which`: starts, texts, different hashes, of each start the number; of each hash its least and greatest id."""
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All strings of the phrases `which`: starts, texts; a place and the hash of each different one, in order of hash; of each start the number; of each different one its least and greatest id."""
         sizes = self.last[which] - self.first[which] + 1
         at = np.repeat(self.first[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         doc = np.repeat(self.doc[which], sizes)
-        hashes, of = np.unique(string_hashes(self.body, at) if len(at) else np.empty(0, np.uint64), return_inverse=True)
-        return at, doc, hashes, of, *_extremes(of, self.ids[doc], len(hashes))
+        hashes = string_hashes(self.body, at) if len(at) else np.empty(0, np.uint64)
+        first, of = different(hashes, self.body, at)
+        return at, doc, at[first], hashes[first], of, *_extremes(of, self.ids[doc], len(first))
 
 
 def _extremes(of: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,9 +301,10 @@ def _send_phrases(bits: int):
             several = low[own] != high[own]
             sizes = np.array([len(x) for x in held], np.uint8) | (several.astype(np.uint8) << 7)
             rows.append((u, name, PHRASES, b"".join(held), sizes.tobytes(), low[own].tobytes(), high[own][several].tobytes(), own.astype(np.uint32).tobytes()))
-        _, _, hashes, _, low, high = block.strings(many)
+        _, _, places, hashes, _, low, high = block.strings(many)
         for u, s in _bucketed(hashes, bits):
-            rows.append((u, name, STRINGS, hashes[s].tobytes(), low[s].tobytes(), high[s].tobytes(), np.arange(s.start, s.stop, dtype=np.uint32).tobytes()))
+            held = b"".join(block.raw[p : p + WIDTH] for p in places[s].tolist())
+            rows.append((u, name, STRINGS, hashes[s].tobytes(), low[s].tobytes(), high[s].tobytes(), np.arange(s.start, s.stop, dtype=np.uint32).tobytes(), held))
         del block, texts
         release_memory()
         return _messages(rows)
@@ -353,8 +383,9 @@ def _answer_phrases(key, table):
                 rows.append((0, m["block"].as_py(), LEAST, numbers.tobytes(), offset[heads].astype(np.uint8).tobytes(), offset[tails].astype(np.uint8).tobytes(), value[heads].tobytes()))
     if told := _told(table, STRINGS):
         parts = [_array(m["a"], np.uint64) for m in told]
-        hashes, of = np.unique(np.concatenate(parts), return_inverse=True)
-        low, _ = _extremes(of, np.concatenate([_array(m["b"], np.int64) for m in told]), len(hashes))
+        hashes, body = np.concatenate(parts), np.concatenate([_array(m["e"], np.uint8) for m in told])
+        first, of = different(hashes, body, np.arange(len(hashes)) * WIDTH)
+        low, _ = _extremes(of, np.concatenate([_array(m["b"], np.int64) for m in told]), len(first))
         value, at = low[of], 0
         for m, own in zip(told, parts, strict=True):
             v = value[at : at + len(own)]
@@ -384,8 +415,8 @@ def _repeated(block: Block, told: pa.Table, bits: int) -> np.ndarray:
         size = b[run] - a[run] + 1
         out.append(np.repeat(block.first[phrase] + a[run] - (np.cumsum(size) - size), size) + np.arange(size.sum()))
     if single := _told(told, LEAST_STRINGS):
-        at, doc, hashes, of, _, _ = block.strings(many)
-        least = np.full(len(hashes), (1 << 63) - 1, np.int64)
+        at, doc, places, _, of, _, _ = block.strings(many)
+        least = np.full(len(places), (1 << 63) - 1, np.int64)
         for m in single:
             least[_array(m["a"], np.uint32)] = _array(m["b"], np.int64)
         out.append(at[least[of] < block.ids[doc]])
