@@ -44,8 +44,8 @@ _CODE[0x80:0xC0] = 255  # the rest of a character that its first byte stands for
 _LOOK = "".join(map(regex.escape, LOOK_ALIKES))
 #: Where a token turns suspicious: look-alikes between letters, before the first or (one or two, not `!`) after the last one; a letter three times in a row.
 _ANCHOR = regex.compile(rf"\p{{L}}[{_LOOK}]+\p{{L}}|(?<![^\s\"'])[0-9@$+€|!]+\p{{L}}|\p{{L}}[0-9@$+€]{{1,2}}(?![^\s.,;:!?])|(\p{{L}})\1\1")
-#: Three and more single letters set apart by one sign each.
-_SPACED = regex.compile(r"(?<!\S)\p{L}(?:([ ._*\-])\p{L})(?:\1\p{L})+(?![^\s.,;:!?])")
+#: Three and more single letters or look-alikes set apart by one sign each (stretches without a letter stay as they are).
+_SPACED = regex.compile(rf"(?<!\S)[\p{{L}}{_LOOK}](?:([ ._*\-])[\p{{L}}{_LOOK}])(?:\1[\p{{L}}{_LOOK}])+(?![^\s.,;:!?])")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _TOKENS = re.compile(r"(\s+)")
 #: Signs at the edges of a token that only decorate it.
@@ -53,12 +53,14 @@ _EDGES = regex.compile(r"^(?:([^\p{L}\p{N}\s])\1{2,}|[\"'(\[{<*_.,;:]+)+|(?:([^\
 _NOT_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
-_LETTER, _LOOKS, _LEADS, _APART, _SPACES = (np.zeros(256, bool) for _ in range(5))
+_LETTER, _LOOKS, _LEADS, _APART, _SPACES, _ENDS = (np.zeros(256, bool) for _ in range(6))
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 _LOOKS[[*b"0123456789@$+"]] = True
 _LEADS[[*b"0123456789@$+!|("]] = True
 _APART[[*b" ._*-"]] = True
 _SPACES[[*b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]] = _SPACES[0x80:] = True
+_ENDS[[*b".,;:!?"]] = True
+_ENDS |= _SPACES | _APART
 
 
 def suspicious(text: str) -> bool:
@@ -74,8 +76,12 @@ def suspicious(text: str) -> bool:
     same = (b[1:] == b[:-1]) & letter[1:] & (b[1:] < 0x80)
     if (same[1:] & same[:-1]).any():
         return True
-    pair = letter[:-1] & _APART[b[1:]]
-    return bool((pair[1:-2] & pair[3:] & _SPACES[b[:-4]]).any()) if len(b) > 4 else False
+    if len(b) < 7:
+        return False
+    # two of a stretch side by side, one of them a letter
+    single = letter | _LEADS[b]
+    pair = single[1:-3] & _APART[b[2:-2]] & single[3:-1] & (letter[1:-3] | letter[3:-1])
+    return bool((pair & (_SPACES[b[:-4]] | _APART[b[:-4]]) & _ENDS[b[4:]]).any())
 
 
 def symbols(text: str) -> np.ndarray:
@@ -160,14 +166,34 @@ def decode(stretch: str, costs) -> tuple[str, float]:
 
 
 def decode_spaced(stretch: str, costs) -> str:
-    """Letters set apart are one word, or stay as they are: whichever the model finds cheaper; more separators than letters of a word cost the channel once."""
-    joined, together = decode(stretch[::2], costs)
-    a = b = SPACE
-    apart = 0.0
-    for c in (*stretch, " "):
-        k = _code(c) if c.isalpha() else SPACE
-        apart, a, b = apart + costs[a][b][k], b, k
-    return joined if together + SPACED < apart else stretch
+    """Letters and look-alikes set apart are one word, or stay as they are: whichever the model finds cheaper; more separators than letters of a word cost the channel once.
+
+    Look-alikes before the first or after the last letter may belong to the word or stand for themselves.
+    """
+    singles = stretch[::2]
+    letters = [i for i, c in enumerate(singles) if c not in LOOK_ALIKES]
+    if not letters:
+        return stretch
+
+    def apart(part: str) -> float:
+        a = b = SPACE
+        cost = 0.0
+        for i, c in enumerate(part):
+            k = SPACE if i % 2 else _code(c)
+            cost, a, b = cost + costs[a][b][k], b, k
+        return cost
+
+    out, least = stretch, apart(stretch + " ")
+    for first in sorted({0, letters[0]}):
+        for last in sorted({letters[-1] + 1, len(singles)}, reverse=True):
+            if last - first < 3:
+                continue
+            before, after = stretch[: 2 * first], stretch[2 * last :]
+            joined, together = decode(singles[first:last], costs)
+            together += SPACED + apart(before) + (apart(after + " ") if after else 0.0)
+            if together < least:
+                out, least = before + joined + stretch[2 * last - 1 : 2 * last] + after, together
+    return out
 
 
 #: Lengths of word beginnings that may testify.
