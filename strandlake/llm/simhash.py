@@ -58,6 +58,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """docs and, under a name of its own, the fingerprint of their texts; no shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            found = pa.array([fingerprint(t) for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"]))
+
+
 def _keys(distinct: DataFrame, chain: int) -> DataFrame:
     """fp and key of all chain heads: the segment itself and, for longer chains, the next one with up to one bit turned."""
     rows = []
@@ -200,10 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     without a word have fingerprint 0 and are linked like any other. Null ids take
     part, but a component's id is its least id that isn't null (null if all are).
     """
+    return classes(docs, id_col, text, chain, block).drop("root")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chain: int | None = None, block: int = BLOCK) -> DataFrame:
+    """near_duplicates() and root, a fingerprint of each component: where ids repeat, components can share their least id."""
     rows = written(fingerprints(docs, id_col, text), "simhash")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), chain, block))
     nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = nodes.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    found = nodes.join(least, "root").select(F.col("fp").alias("f"), "component_id", "root")
+    return rows.join(found, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", "root")

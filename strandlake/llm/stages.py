@@ -33,15 +33,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of linked fingerprints, once if its id repeats.
+    """Keep one document of each group of linked fingerprints: one with the least id, and of those with the least fingerprint.
 
-    Documents with a null id stay as they are. Texts are shuffled once, for the join with the kept ids.
+    Where an id repeats with different texts, each text goes with its own group. Documents
+    with a null id stay as they are. Fingerprints are taken twice, so that texts are
+    shuffled once, for the join with the kept ids and fingerprints.
     """
-    classes = simhash.near_duplicates(docs)
-    kept = written(classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    rows = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    least = simhash.classes(docs).where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("fp").alias("_kept"))
+    kept = written(least.select("_id", "_kept"), "kept-ids")
+    rows = simhash.with_fingerprint(docs, "_fp").join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_kept")), "left_semi")
+    first = Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text"))
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_fp")
     return rows.unionByName(docs.where("doc_id is null"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strandlake.llm import language_id
+from strandlake.llm import language_id, stages
 
 
 def _worded(spark, lang, stem, n):
@@ -30,3 +30,12 @@ def test_sample_grows_where_hashes_leave_too_few(spark):
     """Texts with hashes in the upper half only: the share drawn first finds none."""
     upper = _worded(spark, "xx", "ba", 2000).where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) >= 1 << 39)
     assert len(language_id.fit(upper).dictionaries[0].split()) == 3 * language_id.ROWS_PER_LANGUAGE
+
+
+def test_texts_of_a_repeated_id_go_with_their_own_groups(spark):
+    """Id 5 has a text of its own, one in two near forms, and a copy of document 1."""
+    own = [" ".join(f"{stem}{i}" for i in range(60)) for stem in ("apple", "river", "stone", "cloud")]
+    rows = [(1, own[0]), (5, own[0]), (5, own[1]), (5, own[2]), (5, own[2].upper()), (7, own[2]), (9, own[3]), (None, own[3])]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = sorted((r["doc_id"] or 0, r["text"].lower()) for r in stages.near_dedup(spark, docs, "").collect())
+    assert kept == [(0, own[3]), (1, own[0]), (5, own[1]), (5, own[2]), (9, own[3])]
