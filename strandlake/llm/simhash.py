@@ -183,8 +183,9 @@ def links(distinct: DataFrame, chain: int | None = None, block: int = BLOCK) ->
 
     Fingerprints under a key of at most `block` rows are compared in one task. A larger
     key is dealt to blocks at first; what the links found so far, from all keys, leave
-    outside of the key's largest component is then compared with every block. So each
-    pair that isn't connected anyway is compared, and no task takes a whole large key.
+    outside of the key's largest component is dealt to groups of about `block` rows, and
+    each group is compared with every block. So each pair that isn't connected anyway is
+    compared, and no task holds more than a group and a block of a large key at once.
     """
     chain = chain or (1 if distinct.count() <= SHORT_CHAIN else 2)
     keyed = _keys(distinct, chain)
@@ -198,9 +199,12 @@ def links(distinct: DataFrame, chain: int | None = None, block: int = BLOCK) ->
     hot = written(dealt.where("blocks is not null").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-hot")
     sizes = hot.groupBy("key", "root").count()
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    others = hot.join(main, "key").where("root != main")
-    across = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "fp")
-    touched = hot.join(others.select("key").distinct(), "key", "left_semi").select("key", "block", "fp")
+    others = hot.join(main, "key").where("root != main").select("key", "blocks", "fp")
+    groups = others.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("groups"))
+    mine = others.join(groups, "key").withColumn("group", F.pmod(F.xxhash64("fp", F.lit(1)), "groups"))
+    place = (F.col("group") * F.col("blocks") + F.col("block")).alias("block")
+    across = mine.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", place, "fp")
+    touched = hot.join(groups, "key").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("key", place, "fp")
     return edges.unionByName(_edges(touched.unionByName(across).distinct()))
 
 

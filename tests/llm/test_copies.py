@@ -1,8 +1,10 @@
 """Copies, repeated ids and large groups: what they must not change."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from strandlake.llm import language_id, stages
+from strandlake.llm import language_id, simhash, stages
 
 
 def _worded(spark, lang, stem, n):
@@ -39,3 +41,28 @@ def test_texts_of_a_repeated_id_go_with_their_own_groups(spark):
     docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
     kept = sorted((r["doc_id"] or 0, r["text"].lower()) for r in stages.near_dedup(spark, docs, "").collect())
     assert kept == [(0, own[3]), (1, own[0]), (5, own[1]), (5, own[2]), (9, own[3])]
+
+
+def test_no_task_holds_a_large_key(spark, monkeypatch):
+    """600 fingerprints of one key, few of them linked, in blocks of 32: groups stay small, and links are those of all pairs."""
+    draw = random.Random(6)
+    fps = [draw.getrandbits(50) << 13 | 5 for _ in range(540)]
+    fps = sorted({*fps, *(f ^ (1 << draw.randrange(13, 63)) ^ (1 << draw.randrange(13, 63)) for f in fps[:60])})
+    largest, whole = [], simhash._edges
+
+    def spied(keyed):
+        largest.append(keyed.groupBy("key", "block").count().agg(F.max("count")).first()[0])
+        return whole(keyed)
+
+    monkeypatch.setattr(simhash, "_edges", spied)
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(table, 1, 32)).collect()}
+    assert len(largest) == 2 and max(largest) < 5 * 32
+    want = {f: {f} for f in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4 and want[a] is not want[b]:
+                want[a] |= want[b]
+                for x in want[b]:
+                    want[x] = want[a]
+    assert got == {f: min(s) for f, s in want.items() if len(s) > 1}
