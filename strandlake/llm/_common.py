@@ -19,11 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a folder of our own is made and set.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and all runs on
+    one machine (tests) a folder of our own is made and set. On a cluster an unset
+    folder is an error: executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -58,6 +61,17 @@ def unused_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., which no helper column is named like, and their names by the given ones."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts: one scan of that column, a number to the driver."""
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers live on between tasks and stages."""
     pa.default_memory_pool().release_unused()

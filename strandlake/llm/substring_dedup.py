@@ -1,38 +1,78 @@
 """Exact substring deduplication by prefix-free parsing.
 
-Texts are bytes. A position is a trigger if the rolling hash of its KMER bytes is the
-least in some window of WIDTH bytes; every string of WIDTH bytes has exactly one such
-trigger of its own, found from its content alone. The trigger's phrase are the strings
-that it owns: they start side by side, so the phrase is one stretch of text together
-with WIDTH - 1 bytes of what follows in the parse. Equal strings of WIDTH bytes have
-equal triggers, hence meet in the dictionary of phrases under the trigger's hash. There
-the suffix array of the dictionary, down to WIDTH bytes, puts equal strings of the
-corpus side by side, and the least document of each run decides what is removed.
-
-Three passes over blocks of documents exchange packed arrays, never one row per byte:
-which triggers any other document has; the phrases of those; the least documents.
-The blocks' texts are shuffled once, the passes reuse that exchange.
+Texts are bytes. A rolling hash of KMER bytes runs over them; a place is a trigger if its
+hash is the least in some window of WIDTH bytes, so every string of WIDTH bytes has exactly
+one trigger of its own, found from its content alone. What a trigger owns starts side by
+side: one stretch of text, with the WIDTH - 1 bytes behind it. Equal strings have equal
+triggers, so a hash of the trigger deals all stretches that can repeat to buckets.
+
+A bucket's stretches are highly repetitive text, and there prefix-free parsing runs whole:
+a short rolling hash whose value is 0 modulo MODULUS ends a phrase; the different phrases
+are the dictionary, each stretch is parsed into their numbers. The suffix array of the
+dictionary and that of the parse, both by prefix doubling, combine into the order of all
+places of the bucket: first by the rest of the phrase that a place stands in, then by the
+rest of the parse. In that order equal strings of WIDTH bytes lie side by side, and the
+least document of each run decides what is removed.
+
+Three passes over blocks of documents exchange packed arrays, never one row per byte: which
+triggers any other document has; their stretches; the least documents. Blocks and buckets
+are sized by bytes, so no task grows with the input. The blocks' texts are shuffled once,
+the passes reuse that exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._common import release_memory, shuffle_width
+from strandlake.llm._common import release_memory, shuffle_width, text_bytes, unused_name
 
 WIDTH, KMER = 50, 20
+#: The short rolling hash that parses a bucket: bytes it covers, and what it is taken modulo.
+SHORT, MODULUS = 4, 16
+#: Bytes of text of a block and of a bucket, and the least ones, where fewer would leave tasks without work.
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BYTES = 6 << 20, 4 << 20, 1 << 19
 #: Bytes of a block's texts that are hashed at once; places inside have to fit the low bits of the sorting keys.
 TILE, PLACE = 1 << 18, np.uint64((1 << 24) - 1)
-#: A trigger in so many blocks is common: its strings are exchanged one by one under hashes of their own, so that the many
-#: different continuations of a common passage don't meet in one task. Their bytes go along and decide what is equal.
-COMMON_BLOCKS = 1024
+#: A trigger with so many different stretches, counted in each block and summed, is common: its strings are exchanged one by one
+#: under hashes of their own, so that the many continuations of a common passage don't meet in one task. Their bytes go along and
+#: decide what is equal.
+COMMON_STRETCHES = 4096
 FIRST = -(1 << 63)
+#: The base of the rolling hash (modulo 2^64; odd, so it has an inverse), and a random number for each byte.
+BASE = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def rolling(body: np.ndarray, k: int) -> np.ndarray:
+    """The rolling hash (Karp and Rabin's) of the k bytes from each place on: differences of one running sum, its low bits mixed."""
+    n = len(body) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    up, down = _powers(max(len(body), TILE + WIDTH))
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(_BYTE[body] * up[: len(body)], out=sums[1:])
+    return _mixed((sums[k:] - sums[:n]) * down[:n])
 
 
 def _words(body: np.ndarray) -> np.ndarray:
@@ -92,10 +132,10 @@ def different(hashes: np.ndarray, body: np.ndarray, at: np.ndarray) -> tuple[np.
     return order[head], of
 
 
-def phrases(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the trigger, first and last start of owned strings, for every phrase of the texts body[starts:ends].
+def stretches(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the trigger, first and last start of owned strings, for every stretch of the texts body[starts:ends].
 
-    Works through tiles of the body; a phrase that a tile cuts becomes two with one trigger.
+    Works through tiles of the body; a stretch that a tile cuts becomes two with one trigger.
     """
     found = []
     n = len(body) - WIDTH + 1
@@ -110,10 +150,8 @@ def phrases(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     breaks[starts[long]] = True
     for a in range(0, n, TILE):
         b = min(n, a + TILE)
-        w = _words(body[a : b + WIDTH - 1])
-        k = b - a + WIDTH - KMER  # triggers that strings of this tile can have
-        h = _stirred(w[:k], w[8 : k + 8], w[KMER - 8 : KMER - 8 + k])
-        least = (h & ~PLACE) | np.arange(k, dtype=np.uint64)
+        h = rolling(body[a : b + WIDTH - 1], KMER)  # of all triggers that strings of this tile can have
+        least = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
         reach = 1
         while reach * 2 <= WIDTH - KMER + 1:
             least = np.minimum(least[:-reach], least[reach:])
@@ -126,12 +164,13 @@ def phrases(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
         tail = ok.copy()
         tail[:-1] &= head[1:] | ~ok[1:]
         first = np.flatnonzero(head)
-        found.append((h[owner[first]], first + a, np.flatnonzero(tail) + a))
+        # least hashes are small: stirred again, their upper bits deal evenly
+        found.append((_stirred(h[owner[first]]), first + a, np.flatnonzero(tail) + a))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 class Block:
-    """The texts of a block in ascending order of id, as one body, and their phrases."""
+    """The texts of a block in ascending order of id, as one body, and their stretches."""
 
     def __init__(self, table: pa.Table, bits: int):
         ids = [FIRST if i is None else i for i in table.column("doc_id").to_pylist()]
@@ -144,26 +183,26 @@ class Block:
         self.raw = b"".join(texts)
         self.body = np.frombuffer(self.raw, np.uint8)
         del texts
-        self.hashes, self.first, self.last = phrases(self.body, self.starts, self.ends)
+        self.hashes, self.first, self.last = stretches(self.body, self.starts, self.ends)
         self.hashes = _sent(self.hashes, bits)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
     def shared(self, hashes: np.ndarray) -> np.ndarray:
-        """Which phrases have one of the sorted hashes."""
+        """Which stretches have one of the sorted hashes."""
         if not len(hashes):
             return np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(hashes, self.hashes), len(hashes) - 1)
         return np.flatnonzero(hashes[at] == self.hashes)
 
     def entries(self, which: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """The different phrases among `which`, in order of first occurrence; of each occurrence the number; of each phrase its least and greatest id."""
+        """The different stretches among `which`, in order of first occurrence; of each occurrence the number; of each stretch its least and greatest id."""
         number: dict[bytes, int] = {}
         raw = self.raw
         of = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(self.first[which].tolist(), (self.last[which] + WIDTH).tolist(), strict=True)), np.int64, len(which))
         return list(number), of, *_extremes(of, self.ids[self.doc[which]], len(number))
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All strings of the phrases `which`: starts, texts; a place and the hash of each different one, in order of hash; of each start the number; of each different one its least and greatest id."""
+        """All strings of the stretches `which`: starts, texts; a place and the hash of each different one, in order of hash; of each start the number; of each different one its least and greatest id."""
         sizes = self.last[which] - self.first[which] + 1
         at = np.repeat(self.first[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         doc = np.repeat(self.doc[which], sizes)
@@ -215,7 +254,7 @@ def _sent(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 # what the passes exchange: packed arrays from one block to a bucket (or back), as columns a to e of one kind
 MESSAGE = "bucket int, block int, kind int, a binary, b binary, c binary, d binary, e binary"
-TRIGGERS, PHRASES, STRINGS, SHARED, COMMON, LEAST, LEAST_STRINGS = range(7)
+TRIGGERS, STRETCHES, STRINGS, SHARED, LEAST, LEAST_STRINGS = range(6)
 _ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
 
 
@@ -239,17 +278,26 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
 
 
 def _send_triggers(bits: int):
+    """A block's triggers; whether several of its documents have each, and how many different stretches (8 times its binary logarithm, rounded)."""
+
     def run(key, table):
         block = Block(table, bits)
-        order = np.lexsort((block.doc, block.hashes))
-        hashes, docs = block.hashes[order], block.doc[order]
-        heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
-        several = (docs[heads] != docs[np.concatenate([heads[1:], [len(hashes)]]) - 1]) if len(heads) else np.empty(0, bool)
-        if len(heads):  # rows with one id are one document
-            several &= block.ids[docs[heads]] != block.ids[docs[np.concatenate([heads[1:], [len(hashes)]]) - 1]]
+        if not len(block.hashes):
+            return _messages([])
+        # a stretch is told by its first and last string and its length: together they cover it
+        content = _stirred(string_hashes(block.body, block.first), string_hashes(block.body, block.last), (block.last - block.first).astype(np.uint64))
+        order = np.lexsort((content, block.hashes))
+        hashes, content, ids = block.hashes[order], content[order], block.ids[block.doc[order]]
+        heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (content[1:] != content[:-1])])
+        amount = np.round(8 * np.log2(np.add.reduceat(new.astype(np.int64), heads))).astype(np.uint8)
+        # rows with one id are one document
+        several = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
         hashes = hashes[heads]
+        rows = [(u, key[0].as_py(), TRIGGERS, _packed(hashes[s], bits), np.packbits(several[s]).tobytes(), amount[s].tobytes()) for u, s in _bucketed(hashes, bits)]
+        del block
         release_memory()
-        return _messages([(u, key[0].as_py(), TRIGGERS, _packed(hashes[s], bits), several[s].astype(np.uint8).tobytes()) for u, s in _bucketed(hashes, bits)])
+        return _messages(rows)
 
     return run
 
@@ -259,11 +307,13 @@ def _answer_triggers(bits: int, common: int):
         told, bucket = _told(table, TRIGGERS), key[0].as_py()
         parts = [_unpacked(m["a"], bucket, bits) for m in told]
         hashes = _joined(parts, np.uint64)
-        several = _joined([_array(m["b"], np.uint8) for m in told], np.uint8).astype(np.int64)
+        several = _joined([np.unpackbits(_array(m["b"], np.uint8), count=len(p)) for m, p in zip(told, parts, strict=True)], np.uint8).astype(np.int64)
+        amounts = np.exp2(_joined([_array(m["c"], np.uint8) for m in told], np.uint8) / 8)
         order = np.argsort(hashes, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
         blocks = np.diff(np.concatenate([heads, [len(hashes)]]))
-        seen = np.repeat(np.where((blocks > 1) | (np.add.reduceat(several[order], heads) > 0), np.where(blocks >= common, 2, 1), 0), blocks)
+        is_common = np.add.reduceat(amounts[order], heads) >= common
+        seen = np.repeat(np.where((blocks > 1) | (np.add.reduceat(several[order], heads) > 0), np.where(is_common, 2, 1), 0), blocks)
         state = np.empty(len(hashes), np.int64)
         state[order] = seen
         rows, at = [], 0
@@ -279,12 +329,12 @@ def _answer_triggers(bits: int, common: int):
 
 
 def _chosen(block: Block, told: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's phrases that other documents may have, and those of common triggers."""
+    """The block's stretches that other documents may have, and those of common triggers."""
     shared = _told(told, SHARED)
     return tuple(block.shared(np.sort(_joined([_unpacked(m[c], m["bucket"].as_py(), bits) for m in shared], np.uint64))) for c in "ab")
 
 
-def _send_phrases(bits: int):
+def _send_stretches(bits: int):
     def run(key, docs, told):
         if not docs.num_rows or not told.num_rows:
             return _messages([])
@@ -300,7 +350,7 @@ def _send_phrases(bits: int):
             held = [texts[i] for i in own.tolist()]
             several = low[own] != high[own]
             sizes = np.array([len(x) for x in held], np.uint8) | (several.astype(np.uint8) << 7)
-            rows.append((u, name, PHRASES, b"".join(held), sizes.tobytes(), low[own].tobytes(), high[own][several].tobytes(), own.astype(np.uint32).tobytes()))
+            rows.append((u, name, STRETCHES, b"".join(held), sizes.tobytes(), low[own].tobytes(), high[own][several].tobytes(), own.astype(np.uint32).tobytes()))
         _, _, places, hashes, _, low, high = block.strings(many)
         for u, s in _bucketed(hashes, bits):
             held = b"".join(block.raw[p : p + WIDTH] for p in places[s].tolist())
@@ -312,38 +362,110 @@ def _send_phrases(bits: int):
     return run
 
 
-#: Strings that are sorted whole at once; more are first dealt out by their first 8 bytes.
+#: Strings that are compared at once.
 SORTED = 1 << 17
 
 
-def least_documents(body: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For the strings at each place, the least id of equal ones: runs of equal suffixes in the order of the suffix array.
+def suffix_ranks(first: np.ndarray, covered: int, left: np.ndarray) -> np.ndarray:
+    """The suffix array as ranks, by prefix doubling: how many suffixes precede each; equal suffixes have equal ranks.
 
-    The order is made in two steps, by the first 8 bytes and then by all, so that only a
-    stretch of the strings is held at full width.
+    first: keys of the first `covered` symbols of each suffix; left: how many symbols each
+    suffix has. A suffix that ends inside of what is compared precedes its extensions. Each
+    round sorts only the suffixes that tie and don't all end yet.
+    """
+    n = len(first)
+    rank, act, key = np.zeros(n, np.int64), np.arange(n), first
+    while True:
+        order = np.argsort(key)
+        act, key = act[order], key[order]
+        head = np.append(True, key[1:] != key[:-1])[: len(act)]
+        # what ties in this order has one old rank; a new one begins where the key changes
+        old = rank[act]
+        start = np.flatnonzero(np.append(True, old[1:] != old[:-1])[: len(act)])
+        heads = np.flatnonzero(head)
+        group = np.searchsorted(start, heads, "right") - 1
+        sizes = np.diff(np.append(heads, len(act)))
+        new = np.repeat(old[heads] + heads - start[group], sizes)
+        rank[act] = new
+        tied = np.repeat(sizes > 1, sizes)
+        act, new = act[tied], new[tied]
+        if not len(act):
+            return rank
+        heads = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+        goes_on = np.maximum.reduceat(left[act], heads) > covered
+        keep = np.repeat(goes_on, np.diff(np.append(heads, len(act))))
+        act, new = act[keep], new[keep]
+        if not len(act):
+            return rank
+        beyond = np.where(left[act] > covered, rank[np.minimum(act + covered, n - 1)] + 1, 0)
+        key = new * (n + 1) + beyond
+        covered *= 2
+
+
+def corpus_order(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Indexes of the places `at` in the order of what follows them in their stretch body[starts:ends], by prefix-free parsing.
+
+    Stretches are taken one after another, each closed by SHORT bytes that no text has.
     """
+    sizes = ends - starts
+    closed = np.full(len(body) + SHORT * len(starts), 0xFF, np.uint8)
+    shift = np.arange(len(starts)) * SHORT
+    moved = np.arange(len(body)) + np.repeat(shift, sizes)
+    closed[moved] = body
+    begin = starts + shift
+    last = begin + sizes  # where a stretch's closing bytes start
+    # the parse: a phrase reaches from a trigger (or the stretch's begin) to the end of the next trigger
+    cut = np.concatenate([rolling(closed[a : a + TILE + SHORT - 1], SHORT) % np.uint64(MODULUS) == 0 for a in range(0, len(closed) - SHORT + 1, TILE)])
+    for o in range(1 - SHORT, SHORT):  # strings with a closing byte aren't triggers
+        beside = last + o
+        cut[beside[beside < len(cut)]] = False
+    cut[begin] = True
+    phrase = np.flatnonzero(cut)  # where phrases start
+    stretch = np.searchsorted(begin, phrase, "right") - 1
+    ends_here = np.append(stretch[1:] != stretch[:-1], True)
+    end = np.where(ends_here, last[stretch], np.append(phrase[1:], 0)) + SHORT
+    # the dictionary: different phrases in order of first occurrence, one after another
+    raw, number = closed.tobytes(), {}
+    of = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(phrase.tolist(), end.tolist(), strict=True)), np.int64, len(phrase))
+    dictionary = np.frombuffer(b"".join(number), np.uint8)
+    length = np.fromiter(map(len, number), np.int64, len(number))
+    stop = np.cumsum(length)
+    base = stop - length
+    left = np.repeat(stop, length) - np.arange(len(dictionary))
+    words = _words(dictionary).byteswap()
+    short = left < 8
+    spare = (64 - 8 * left[short]).astype(np.uint64)  # bits of the next phrase
+    words[short] = words[short] >> spare << spare
+    rest = suffix_ranks(words, 8, left)  # the suffix array of the dictionary, as ranks
+    # the parse's suffix array, over the ranks of phrases
+    symbols = rest[base][of]
+    remaining = np.flatnonzero(ends_here)[stretch] + 1 - np.arange(len(phrase))
+    parse = suffix_ranks(symbols, 1, remaining)
+    following = np.where(ends_here, 0, np.append(parse[1:], 0) + 1)
+    # both combine: what is left of the phrase, then what follows it in the parse
+    where = moved[at]
+    own = np.searchsorted(phrase, where, "right") - 1
+    return np.argsort(rest[base[of[own]] + where - phrase[own]] * (len(phrase) + 1) + following[own])
+
+
+def least_documents(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For the strings at each place, the least id of equal ones: runs in corpus order whose neighbours share WIDTH bytes."""
+    order = corpus_order(body, starts, ends, at)
     windows = np.lib.stride_tricks.sliding_window_view(body, WIDTH)
-    head = _words(body)[at].byteswap()
-    order = np.argsort(head)
-    head = head[order]
+    head = np.ones(len(order), bool)
+    for a in range(1, len(order), SORTED):
+        here = order[a : a + SORTED]
+        head[a : a + len(here)] = (windows[at[here]] != windows[at[order[a - 1 : a - 1 + len(here)]]]).any(axis=1)
+    heads = np.flatnonzero(head)
     out = np.empty(len(at), np.int64)
-    a = 0
-    while a < len(at):
-        b = len(at) if a + SORTED >= len(at) else int(np.searchsorted(head, head[a + SORTED], "right"))
-        part = order[a:b]
-        strings = windows[at[part]].reshape(-1).view(f"S{WIDTH}")
-        rank = np.argsort(strings)
-        strings, part = strings[rank], part[rank]
-        heads = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
-        out[part] = np.repeat(np.minimum.reduceat(ids[part], heads), np.diff(np.concatenate([heads, [len(part)]])))
-        a = b
+    out[order] = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.append(heads, len(order))))
     return out
 
 
-def _answer_phrases(key, table):
+def _answer_stretches(key, table):
     rows = []
-    if told := _told(table, PHRASES):
-        dictionary: dict[bytes, int] = {}
+    if told := _told(table, STRETCHES):
+        dictionary: dict[bytes, int] = {}  # the different stretches
         low: list[int] = []
         of: list[np.ndarray] = []
         for m in told:
@@ -361,11 +483,13 @@ def _answer_phrases(key, table):
         sizes = np.array([len(x) for x in dictionary], np.int64)
         ends = np.cumsum(sizes)
         counts = sizes - WIDTH + 1
-        base = np.cumsum(counts) - counts  # where a phrase's strings stand
+        base = np.cumsum(counts) - counts  # where a stretch's strings stand
         at = np.repeat(ends - sizes - base, counts) + np.arange(counts.sum())
-        least = least_documents(np.frombuffer(b"".join(dictionary), np.uint8), at, np.repeat(np.array(low, np.int64), counts))
+        body = np.frombuffer(b"".join(dictionary), np.uint8)
+        del dictionary
+        least = least_documents(body, ends - sizes, ends, at, np.repeat(np.array(low, np.int64), counts))
         for m, numbers in zip(told, of, strict=True):
-            # runs of strings of a phrase with one least document, where that precedes a document of the block
+            # runs of strings of a stretch with one least document, where that precedes a document of the block
             c = counts[numbers]
             entry = np.repeat(np.arange(len(numbers)), c)
             offset = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
@@ -449,28 +573,35 @@ def _finish(bits: int, carried: list[str], with_kept: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_kept: bool = True, carried: list[str] = (), blocks: int | None = None, common: int = COMMON_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_kept: bool = True, carried: list[str] = (), blocks: int | None = None, common: int = COMMON_STRETCHES) -> DataFrame:
     """Mark for removal each byte that a string of WIDTH bytes covers which also starts in a document with a smaller id.
 
     Returns per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, if with_kept also
     text, kept (binary: the remaining bytes where any are removed, else null) and kept_text
-    (the same without parts of characters that a cut left), and the `carried` columns, which go along with the texts. Strings are judged on the input. Null texts are
-    empty; null ids precede all others; rows with equal ids are one document and never
-    remove from each other. A text shorter than WIDTH loses nothing.
-
-    blocks: how many (None: 4 for each partition of the input); a block's texts are held
-    by one task. A key that a third of the rows share reaches a bucket once per block.
+    (the same without parts of characters that a cut left), and the `carried` columns, which go
+    along with the texts (one that is named like a result is left out). Strings are judged on
+    the input. Null texts are empty; null ids precede all others; rows with equal ids are one
+    document and never remove from each other. A text shorter than WIDTH loses nothing.
+
+    blocks: how many (None: by the bytes of the texts, see BLOCK_BYTES); a block's texts are
+    held by one task, and so is a bucket's share of their stretches. A key that a third of the
+    rows share reaches a bucket once per block.
     """
     spark = docs.sparkSession
+    results = ["doc_id", *(["text"] if with_kept else []), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
+    carried = [c for c in carried if c.lower() not in results]
+    size, width = text_bytes(docs, text), shuffle_width(spark)
+    at_least = min(width, -(-size // LEAST_BYTES))
+    blocks = blocks or max(1, at_least, -(-size // BLOCK_BYTES))
+    bits = max(1, (max(at_least, -(-size // BUCKET_BYTES)) - 1).bit_length())
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`") for c in carried))
-    blocks = blocks or max(1, 4 * docs.rdd.getNumPartitions())
-    bits = max(1, (8 * shuffle_width(spark) - 1).bit_length())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    held = rows.groupBy("block")
+    place = unused_name(rows, "block")
+    rows = rows.withColumn(place, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    held = rows.groupBy(place)
     triggers = held.applyInArrow(_send_triggers(bits), MESSAGE)
     shared = triggers.groupBy("bucket").applyInArrow(_answer_triggers(bits, common), MESSAGE)
-    sent = held.cogroup(shared.groupBy("block")).applyInArrow(_send_phrases(bits), MESSAGE)
-    least = sent.groupBy("bucket").applyInArrow(_answer_phrases, MESSAGE)
+    sent = held.cogroup(shared.groupBy("block")).applyInArrow(_send_stretches(bits), MESSAGE)
+    least = sent.groupBy("bucket").applyInArrow(_answer_stretches, MESSAGE)
     told = shared.unionByName(least)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     result = ["doc_id long", *(["text string"] if with_kept else []), *(f"`{c}` {kinds[c]}" for c in carried), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary, kept_text string"] if with_kept else [])]

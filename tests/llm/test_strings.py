@@ -23,8 +23,8 @@ def removed(blocks, common):
     triggers = pa.concat_tables([repeats._send_triggers(BITS)(k, t) for k, t in zip(keys, tables, strict=True)])
     shared = pa.concat_tables([repeats._answer_triggers(BITS, common)((pa.scalar(u),), t) for u, t in by(triggers, "bucket").items()])
     asked = by(shared, "block")
-    sent = pa.concat_tables([repeats._send_phrases(BITS)(k, t, asked.get(i, none)) for i, (k, t) in enumerate(zip(keys, tables, strict=True))])
-    told = by(pa.concat_tables([shared, *(repeats._answer_phrases((pa.scalar(u),), t) for u, t in by(sent, "bucket").items())]), "block")
+    sent = pa.concat_tables([repeats._send_stretches(BITS)(k, t, asked.get(i, none)) for i, (k, t) in enumerate(zip(keys, tables, strict=True))])
+    told = by(pa.concat_tables([shared, *(repeats._answer_stretches((pa.scalar(u),), t) for u, t in by(sent, "bucket").items())]), "block")
     out = [repeats._finish(BITS, [], False)(k, t, told.get(i, none)) for i, (k, t) in enumerate(zip(keys, tables, strict=True))]
     return {r["doc_id"]: r["n_removed"] for t in out for r in t.to_pylist()}
 
@@ -48,3 +48,39 @@ def test_colliding_hashes_remove_nothing(monkeypatch, bits):
     docs = [(i, word(40) + passage + word(80)) for i in range(9)] + [(9, passage[:40] + word(90))]
     blocks = [docs[:4], docs[4:7], docs[7:]]
     assert removed(blocks, common=1) == removed(blocks, common=1000) == brute_force(docs)
+
+
+def test_corpus_order_is_that_of_sorted_suffixes():
+    """Prefix-free parsing against a plain sort, on repetitive stretches that share beginnings, ends and whole parts."""
+    draw = random.Random(8)
+    for alphabet in ("ab", "abcdefgh \x00", "é€x"):
+        parts = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(1, 60))) for _ in range(12)]
+        texts = sorted({("".join(draw.choice(parts) for _ in range(6)) + "z" * 50).encode()[:200] for _ in range(80)})
+        texts = [t for t in texts if len(t) >= 50]
+        draw.shuffle(texts)
+        body = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
+        at = np.concatenate([np.arange(a, b - 49) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        end_of = np.repeat(ends, ends - starts - 49)
+        suffixes = [body[a:b].tobytes() + b"\xff" for a, b in zip(at.tolist(), end_of.tolist(), strict=True)]
+        order = repeats.corpus_order(body, starts, ends, at)
+        assert [suffixes[i] for i in order] == sorted(suffixes)
+        ids = np.array([draw.randrange(50) for _ in at], np.int64)
+        least = {}
+        for a, i in zip(at.tolist(), ids.tolist(), strict=True):
+            s = body[a : a + 50].tobytes()
+            least[s] = min(i, least.get(s, i))
+        got = repeats.least_documents(body, starts, ends, at, ids)
+        assert got.tolist() == [least[body[a : a + 50].tobytes()] for a in at.tolist()]
+
+
+def test_rolling_hash_depends_on_its_bytes_only():
+    draw = np.random.default_rng(2)
+    body = draw.integers(97, 100, 5000).astype(np.uint8)
+    for k in (repeats.SHORT, repeats.KMER):
+        got, seen = repeats.rolling(body, k), {}
+        assert len(got) == 5000 - k + 1
+        for i, h in enumerate(got.tolist()):
+            assert seen.setdefault(body[i : i + k].tobytes(), h) == h
+        assert len(set(seen.values())) == len(seen)
