@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm._common import shuffle_width, words_of
+from strandlake.llm._common import shuffle_width, unused_name, words_of
 
 BINS, BITS, SHINGLE = 128, 8, 5
 #: Draws of an empty bin before it ranks the filled ones.
@@ -71,11 +71,12 @@ def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = BINS, bits:
 
     bins has to be a power of two. No shuffle; each step is a projection of its own, so that none is computed twice.
     """
-    df = df.withColumn("_words", words_of(F.col(f"`{text}`")))
-    df = df.withColumn("_sorted", F.sort_array(shingle_hashes(F.col("_words"))))
-    first = F.filter("_sorted", lambda x, i: (i == 0) | (_bin(x, bins) != _bin(F.get("_sorted", i - 1), bins)))
-    df = df.withColumn("_kept", first).withColumn("_filled", F.transform("_kept", lambda x: _bin(x, bins)))
-    return df.withColumn(out, _densified(F.col("_kept"), F.col("_filled"), bins, bits)).drop("_words", "_sorted", "_kept", "_filled")
+    words, ordered, kept, filled = (unused_name(df, f"_{c}") for c in ("words", "sorted", "kept", "filled"))
+    df = df.withColumn(words, words_of(F.col(f"`{text}`")))
+    df = df.withColumn(ordered, F.sort_array(shingle_hashes(F.col(words))))
+    first = F.filter(ordered, lambda x, i: (i == 0) | (_bin(x, bins) != _bin(F.get(ordered, i - 1), bins)))
+    df = df.withColumn(kept, first).withColumn(filled, F.transform(kept, lambda x: _bin(x, bins)))
+    return df.withColumn(out, _densified(F.col(kept), F.col(filled), bins, bits)).drop(words, ordered, kept, filled)
 
 
 def with_next(df: DataFrame, key: str, carried: list[str]) -> DataFrame:
@@ -104,14 +105,16 @@ def with_next(df: DataFrame, key: str, carried: list[str]) -> DataFrame:
     first = F.split(F.lit(",".join(str(firsts.get(b, 0)) for b in range(len(cuts) + 1))), ",").cast("array<bigint>")
     previous = F.split(F.lit(",".join(str(before.get(b, 0)) for b in range(len(cuts) + 1))), ",").cast("array<int>")
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = df.withColumn("_k", k).withColumn("_b", bucket(F.col("_k")))
-    here = F.struct(F.col("_b").alias("at"), F.lit(False).alias("extra"))
-    there = F.struct(F.get(previous, F.col("_b")).alias("at"), F.lit(True).alias("extra"))
-    rows = rows.withColumn("_to", F.explode(F.when(F.get(first, F.col("_b")) == F.col("_k"), F.array(here, there)).otherwise(F.array(here))))
-    order = Window.partitionBy("_to.at").orderBy("_to.extra", "_k", *carried)
+    at_key, of_bucket, to, after = (unused_name(df, f"_{c}") for c in ("k", "b", "to", "next"))
+    rows = df.withColumn(at_key, k).withColumn(of_bucket, bucket(F.col(at_key)))
+    here = F.struct(F.col(of_bucket).alias("at"), F.lit(False).alias("extra"))
+    there = F.struct(F.get(previous, F.col(of_bucket)).alias("at"), F.lit(True).alias("extra"))
+    rows = rows.withColumn(to, F.explode(F.when(F.get(first, F.col(of_bucket)) == F.col(at_key), F.array(here, there)).otherwise(F.array(here))))
+    order = Window.partitionBy(f"{to}.at").orderBy(f"{to}.extra", at_key, *carried)
     following = F.lead(F.struct(*carried)).over(order)
-    rows = rows.withColumn("_next", following).where(~F.col("_to.extra"))
-    return rows.select(*df.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
+    rows = rows.withColumn(after, following).where(~F.col(f"{to}.extra"))
+    given = [c for c in df.columns if c.lower() not in {f"next_{c}".lower() for c in carried}]
+    return rows.select(*given, *(F.col(f"{after}.{c}").alias(f"next_{c}") for c in carried))
 
 
 def edited(text: Column, following: Column) -> Column:

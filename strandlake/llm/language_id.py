@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from strandlake.llm._common import release_memory, slices, unused_name
 
 UNDETERMINED = "und"
-#: Bounds of the fit: different texts sampled per language, bytes of a sampled text, bytes of a dictionary.
-ROWS_PER_LANGUAGE, SAMPLED_TEXT_BYTES, DICTIONARY_BYTES = 160, 1 << 15, 64 << 10
+#: Bounds of the fit: different texts sampled per language, characters of a sampled text that count, bytes of a dictionary.
+ROWS_PER_LANGUAGE, SAMPLED_CHARS, DICTIONARY_BYTES = 160, 1 << 14, 64 << 10
+#: Places of a long text that an excerpt is made of.
+EXCERPTS = 8
 #: Bytes of text that are encoded at once; texts are cut into pieces of this size so that the dictionary stays in reach to the end.
 PIECE = 1 << 12
 #: Texts of fewer bytes are encoded behind several carriers, whose own size is taken off: single bytes would round away what tells
@@ -74,15 +76,22 @@ class Encoders:
         return np.array([(sum(len(e.compress(c + body)) for c in some) - n) / len(some) for e, n in zip(encoders, own, strict=True)])
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, text_bytes: int = SAMPLED_TEXT_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
+def excerpt(text: Column, chars: int) -> Column:
+    """A text of at most so many characters as it is; of a longer one as many, from places at even distances."""
+    part = chars // EXCERPTS
+    places = [F.substr(text, (F.floor(F.length(text) * i / EXCERPTS) + 1).cast("int"), F.lit(part)) for i in range(EXCERPTS)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *places))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, chars: int = SAMPLED_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
     """Learn the dictionaries from labelled rows (null labels and texts don't count).
 
-    Different texts of at most `text_bytes` bytes are counted over all rows; of each
-    language the `rows` with the least hashes are used (all, where it has fewer). Copies
-    of a text change nothing: it comes to the driver once, with few more than `rows`
-    others. Texts fill a dictionary in order of their hash.
+    Different texts, of any size, are counted over all rows; of each language the `rows`
+    with the least hashes are used (all, where it has fewer), of a long one excerpts of
+    `chars` characters. Copies of a text change nothing: it comes to the driver once, with
+    few more than `rows` others. Texts fill a dictionary in order of their hash.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= text_bytes)).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     known = known.withColumn("h", F.xxhash64("t"))
     counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count_distinct("h").alias("n")).collect()}
     if not counts:
@@ -95,7 +104,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
         for name, share in shares.items():
             wanted = wanted | ((F.col("l") == name) & (rank < int(share * (1 << 40))))
         found: dict[str, list[tuple[int, str]]] = {}
-        for r in known.where(wanted).groupBy("l", "h").agg(F.min("t").alias("t")).collect():
+        for r in known.where(wanted).groupBy("l", "h").agg(F.min(excerpt(F.col("t"), chars)).alias("t")).collect():
             found.setdefault(r["l"], []).append((r["h"] % (1 << 40), r["t"]))
         sample |= {name: sorted(found.get(name, []))[:rows] for name in shares}
         # hashes that leave fewer below the share than it was drawn for: a larger one

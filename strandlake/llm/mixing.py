@@ -54,7 +54,7 @@ def _position(point: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda at, s: F.when(point >= F.element_at(held, at + s), at + s).otherwise(at))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: Fraction = Fraction(3, 2), cap: int = 2, block: int | None = None, id_col: str = "doc_id", source: str = "source", text: str = "text") -> Mix:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: Fraction = Fraction(3, 2), cap: int = 2, block: int | None = None, id_col: str = "doc_id", source: str = "source", text: str = "text", mark: str | None = None) -> Mix:
     """Mix documents of all sources to target weights.
 
     Sizes are words (null text: 0). Sources in order of code points, null last, take
@@ -69,12 +69,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: F
     4096 buckets a source and of chunks. The driver holds one row per source, so the
     number of sources has to be moderate (names, not URLs). Texts are read once, for
     their sizes. Repeated rows are mixed each on its own; rows without a word are
-    taken 0 times; an empty table gives no rows.
+    taken 0 times; an empty table gives no rows. mark: a column that comes along as `mark`
+    and orders what is equal otherwise.
     """
     spark = docs.sparkSession
+    marks = [] if mark is None else ["mark"]
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
+        *(F.col(f"`{mark}`").alias(m) for m in marks),
         F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     rows = written(rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
@@ -91,7 +94,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: F
 
     # the streams: where each document begins in its source
     streams = rows.join(known, rows["source"].eqNullSafe(known["name"])).drop("name").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    inside = Window.partitionBy("s", "bucket").orderBy("key", "size", "doc_id")
+    inside = Window.partitionBy("s", "bucket").orderBy("key", "size", "doc_id", *marks)
     streams = streams.withColumn("n", F.row_number().over(inside)).withColumn("inner", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = rows.join(known, rows["source"].eqNullSafe(known["name"])).groupBy("s", F.substring("key", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("total"))
     totals = totals.select("s", "bucket", F.coalesce(F.sum("total").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -116,10 +119,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: F
     parts = parts.join(times, ["s", "block"]).groupBy("s", "bucket", "n").agg(
         F.sum(overlap * F.col("times")).alias("taken"), *(F.sum(F.when(F.col("times") > k, overlap).otherwise(0)).alias(f"round_{k + 1}") for k in range(cap))
     )
-    out = streams.join(parts, ["s", "bucket", "n"], "left").select("doc_id", "source", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", *(f"round_{k + 1}" for k in range(cap)))))
+    out = streams.join(parts, ["s", "bucket", "n"], "left").select("doc_id", "source", *marks, "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", *(f"round_{k + 1}" for k in range(cap)))))
     return Mix(out, slots.drop("s"), block)
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The first n words of a text, joined by one space."""
-    return F.array_join(F.slice(F.filter(F.split(text, SPACES), lambda w: w != ""), 1, F.greatest(n, F.lit(1)).cast("int")), " ")
+    """The text up to the end of its n-th word, all bytes between words as they are."""
+    pieces = F.regexp_extract_all(text, F.lit(SPACES.replace("+", "*") + WORD), F.lit(0))
+    return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(1)).cast("int")), "")

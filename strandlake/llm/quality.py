@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._common import words_of
+from strandlake.llm._common import unused_name, words_of
 
 # Function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -36,7 +36,6 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.2),
     Rule("stop_words", "n_stop_words", "n_words", 0.05, None),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
-    Rule("repeated_words", "n_repeat_words", "n_words", None, 0.5),
 )
 MIN_WORDS = 50
 
@@ -49,39 +48,35 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     n_repeat_words. No shuffle: everything is computed where a row is read.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"]
-    hidden = ["_words", "_lines", "_packed", "_bits", "_hits"]
-    kept = [c for c in docs.columns if c.lower() not in {*names, *hidden}]
+    kept = [c for c in docs.columns if c.lower() not in names]
+    words, lines, bits, windows, hits = (unused_name(docs, f"_{c}") for c in ("words", "lines", "bits", "windows", "hits"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    held = F.col("_words")
+    held = F.col(words)
     out = docs.select(
         *(F.col(f"`{c}`") for c in kept),
-        words_of(F.col(f"`{text}`")).alias("_words"),
-        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        words_of(F.col(f"`{text}`")).alias(words),
+        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines),
         (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
     )
-    # each window is one long: a hash above, its place in the low _bits
-    out = out.withColumn("_bits", F.length(F.bin(F.size(held))).cast("int"))
-    out = out.withColumn(
-        "_packed",
-        F.expr("case when size(_words) < 3 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, size(_words) - 3), i -> shiftleft(xxhash64(_words[i], _words[i + 1], _words[i + 2]), _bits) | cast(i as bigint))) end"),
-    )
+    # each window is one long: a hash above, its place in the low bits
+    out = out.withColumn(bits, F.length(F.bin(F.size(held))).cast("int"))
+    packed = f"shiftleft(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), {bits}) | cast(i as bigint)"
+    out = out.withColumn(windows, F.expr(f"case when size({words}) < 3 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, size({words}) - 3), i -> {packed})) end"))
     # equal windows stand side by side after the sort of longs; their words are compared too, so that hash collisions don't count
-    place = "cast(_packed[{k}] & (shiftleft(1L, _bits) - 1) as int)"
-    equal = "shiftrightunsigned(_packed[k], _bits) = shiftrightunsigned(_packed[{o}], _bits) and " + " and ".join(f"_words[{place.format(k='k')} + {j}] = _words[{place.format(k='{o}')} + {j}]" for j in range(3))
-    hit = f"((k > 0 and {equal.replace('{o}', 'k - 1')}) or (k + 1 < size(_packed) and {equal.replace('{o}', 'k + 1')}))"
-    out = out.withColumn(
-        "_hits", F.expr(f"case when size(_packed) < 2 then cast(array() as array<int>) else sort_array(transform(filter(sequence(0, size(_packed) - 1), k -> {hit}), k -> {place.format(k='k')})) end")
-    )
+    place = f"cast({windows}[{{k}}] & (shiftleft(1L, {bits}) - 1) as int)"
+    equal = f"shiftrightunsigned({windows}[k], {bits}) = shiftrightunsigned({windows}[{{o}}], {bits}) and " + " and ".join(f"{words}[{place.format(k='k')} + {j}] = {words}[{place.format(k='{o}')} + {j}]" for j in range(3))
+    hit = f"((k > 0 and {equal.replace('{o}', 'k - 1')}) or (k + 1 < size({windows}) and {equal.replace('{o}', 'k + 1')}))"
+    out = out.withColumn(hits, F.expr(f"case when size({windows}) < 2 then cast(array() as array<int>) else sort_array(transform(filter(sequence(0, size({windows}) - 1), k -> {hit}), k -> {place.format(k='k')})) end"))
     stop = F.array(*(F.lit(w) for w in dict.fromkeys(STOP_WORDS)))
     return out.select(
         *(F.col(f"`{c}`") for c in kept),
         F.size(held).cast("long").alias("n_words"),
         F.length(F.array_join(held, "")).cast("long").alias("word_chars"),
         F.col("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(held, lambda w: F.array_contains(stop, F.rtrim(F.lower(w), F.lit(".,"))))).cast("long").alias("n_stop_words"),
-        F.expr("case when size(_hits) = 0 then 0L else cast(3 + aggregate(sequence(1, size(_hits)), 0, (s, k) -> s + case when k < size(_hits) then least(3, _hits[k] - _hits[k - 1]) else 0 end) as bigint) end").alias("n_repeat_words"),
+        F.expr(f"case when size({hits}) = 0 then 0L else cast(3 + aggregate(sequence(1, size({hits})), 0, (s, k) -> s + case when k < size({hits}) then least(3, {hits}[k] - {hits}[k - 1]) else 0 end) as bigint) end").alias("n_repeat_words"),
     )
 
 

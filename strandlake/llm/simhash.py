@@ -9,6 +9,7 @@ by the growing chain before their full Hamming distance is taken.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,6 @@ from strandlake.llm.components import components
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Lowest bit and width of the ring's segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Up to so many different fingerprints one exact segment is key enough; beyond, the key holds two links of the chain.
-SHORT_CHAIN = 1 << 24
 #: Fingerprints under one key that one task compares; more are dealt to blocks.
 BLOCK = 2048
 
@@ -70,19 +69,34 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text") -> DataFram
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"]))
 
 
+def _turned(i: int, chain: int) -> list[int]:
+    """What `chain` segments from segment i on may differ by: bits of the key, so that every shorter run keeps its budget too."""
+    found = [(0, 0)]
+    for l in range(1, chain + 1):
+        width, budget = SEGMENTS[(i + l - 1) % len(SEGMENTS)][1], l * DISTANCE // len(SEGMENTS)
+        choices = [(sum(1 << b for b in bits), len(bits)) for n in range(budget + 1) for bits in itertools.combinations(range(width), n)]
+        found = [(mask << width | more, used + n) for mask, used in found for more, n in choices if used + n <= budget]
+    return [mask for mask, _ in found]
+
+
+def _width(i: int, chain: int) -> int:
+    return sum(SEGMENTS[(i + l) % len(SEGMENTS)][1] for l in range(chain))
+
+
+def chain_for(n: int, block: int) -> int:
+    """The shortest chain (3 at most) under whose keys n fingerprints of even spread stay well below `block`."""
+    return next((l for l in (1, 2) if all(n * len(_turned(i, l)) <= block / 2 * 2 ** _width(i, l) for i in range(len(SEGMENTS)))), 3)
+
+
 def _keys(distinct: DataFrame, chain: int) -> DataFrame:
-    """fp and key of all chain heads: the segment itself and, for longer chains, the next one with up to one bit turned."""
+    """fp and key of all chain heads: `chain` segments side by side, with what may differ turned."""
     rows = []
-    for i, (low, width) in enumerate(SEGMENTS):
-        own = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-        if chain == 1:
-            rows.append(F.array(F.lit(i << 56).bitwiseOR(own)))
-            continue
-        low2, width2 = SEGMENTS[(i + 1) % len(SEGMENTS)]
-        following = F.shiftrightunsigned("fp", low2).bitwiseAND(F.lit((1 << width2) - 1))
-        base = F.lit(i << 56).bitwiseOR(F.shiftleft(own, 16))
-        near = [following, *(following.bitwiseXOR(F.lit(1 << b)) for b in range(width2))]
-        rows.append(F.array(*(base.bitwiseOR(x) for x in near)))
+    for i in range(len(SEGMENTS)):
+        own = F.lit(0).cast("long")
+        for l in range(chain):
+            low, width = SEGMENTS[(i + l) % len(SEGMENTS)]
+            own = F.shiftleft(own, width).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)))
+        rows.append(F.transform(F.array(*(F.lit(i << 56 | m).cast("long") for m in _turned(i, chain))), own.bitwiseXOR))
     return distinct.select("fp", F.explode(F.concat(*rows)).alias("key"))
 
 
@@ -154,7 +168,7 @@ def _edges(keyed: DataFrame) -> DataFrame:
             return edges
 
         def emitted(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            both = np.array(list(set(edges)), dtype=np.uint64).reshape(-1, 2).view(np.int64)  # longer chains meet more than once
             return pa.RecordBatch.from_arrays([pa.array(both.max(axis=1)), pa.array(both.min(axis=1))], names=["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
@@ -186,8 +200,10 @@ def links(distinct: DataFrame, chain: int | None = None, block: int = BLOCK) ->
     outside of the key's largest component is dealt to groups of about `block` rows, and
     each group is compared with every block. So each pair that isn't connected anyway is
     compared, and no task holds more than a group and a block of a large key at once.
+    chain: segments of a key (None: as many as keep keys small at that number of
+    fingerprints, see chain_for()); links are the same under any.
     """
-    chain = chain or (1 if distinct.count() <= SHORT_CHAIN else 2)
+    chain = chain or chain_for(distinct.count(), block)
     keyed = _keys(distinct, chain)
     large = keyed.groupBy("key").count().where(F.col("count") > block)
     large = written(large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "simhash-large")

@@ -1,6 +1,6 @@
 """Token-id files: length-delimited binary records with masked checksums and an offset index.
 
-A record is ``u64 length | u32 masked crc32c(length) | payload | u32 masked crc32c(payload) | 0x0A``,
+A record is ``u64 length | u32 masked CRC-32 of length | payload | u32 masked CRC-32 of payload | 0x0A``,
 little-endian. The payload is ``u8 has_id | i64 doc_id | u8 width | ids`` with ids
 of 2 or 4 bytes. The closing byte 0x0A is the record separator of Spark's text
 writer, through which the files reach whatever store Spark can write to; lengths
@@ -10,6 +10,7 @@ alone delimit records, so payloads may hold any byte.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import string
@@ -26,17 +27,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandlake.llm._common import slices, shuffle_width
+from strandlake.llm._common import shuffle_width, slices, text_bytes
 
 #: Chunks that a worker remembers; the memory is emptied when full, which changes no result.
 REMEMBERED = 500_000
 #: ASCII controls that only Python's str.split() takes for white space.
 _CONTROLS = re.compile(r"[\x1c-\x1f]").search
+#: Bytes of text whose ids go to one file, and the least ones, where fewer would leave tasks without work.
+FILE_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<BqB")
 TAIL = struct.Struct("<I")
 
 
+# The normalizer and splitter of the word vocabularies that WordEncoder may take apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def masked_checksum(data: bytes) -> int:
     """CRC-32 rotated right by 15 bits plus a constant, so that checksums of data that hold checksums stay sound."""
     crc = zlib.crc32(data)
@@ -50,7 +64,7 @@ def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     return b"".join([length, TAIL.pack(masked_checksum(length)), payload, TAIL.pack(masked_checksum(payload))])
 
 
-def records(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+def records(content: bytes | memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """Offset, length, doc_id and ids (u32) of each record; a ValueError names the first damaged offset."""
     at = 0
     while at < len(content):
@@ -82,6 +96,10 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != SPLITTER or spec["model"]["type"] != "BPE" or spec["model"]["end_of_word_suffix"] != "</w>":
+            raise ValueError("not a vocabulary of lower-case words")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -164,14 +182,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode whole texts and write them as record files in ascending id order.
 
     File names sort like the ids in them: rows are dealt to files by ranges of the
-    id and sorted inside each. One shuffle moves the texts; ids are encoded after
-    it and go straight to the files. Null texts count as empty (the end id only),
-    null ids come first, rows with equal ids stay side by side, ordered by text.
-    The committer of Spark's writer makes retried tasks safe.
+    id and sorted inside each. Files are as many as the bytes of the texts ask for
+    (FILE_BYTES), so none grows with the input. One shuffle moves the texts; ids are
+    encoded after it and go straight to the files. Null texts count as empty (the end
+    id only), null ids come first, rows with equal ids stay side by side, ordered by a
+    hash of the text, by which a range can be cut too. The committer of Spark's writer
+    makes retried tasks safe.
     """
     spark = docs.sparkSession
+    size = text_bytes(docs, text)
+    files = max(1, -(-size // FILE_BYTES), min(shuffle_width(spark), -(-size // LEAST_BYTES)))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(files, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _LOADED:
@@ -188,8 +210,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """All records of the files: file, offset, length, doc_id, n_tokens, ids_crc32 and ids (array).
 
-    Damaged records raise. Files are read whole, one at a time per task; the writer bounds their size by the
-    number of shuffle partitions.
+    Damaged records raise. Files are read whole, one at a time per task; the writer bounds their size.
     """
     schema = T.StructType.fromDDL("file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, ids array<long>")
     return _parsed(spark, path, schema, with_ids=True)
@@ -203,7 +224,7 @@ def _parsed(spark: SparkSession, path: str, schema: T.StructType, with_ids: bool
         for batch in batches:
             for i in range(batch.num_rows):
                 name, rows = batch.column(0)[i].as_py(), []
-                for at, length, doc_id, ids in records(batch.column(1)[i].as_buffer().to_pybytes()):
+                for at, length, doc_id, ids in records(memoryview(batch.column(1)[i].as_buffer())):
                     rows.append((name, at, length, doc_id, ids.size, zlib.crc32(ids.tobytes()), *([ids.astype(np.int64)] * with_ids)))
                     if len(rows) == (200 if with_ids else 20_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
@@ -219,7 +240,7 @@ def write_offset_index(spark: SparkSession, path: str, index: str) -> None:
 
     Per record: file, ordinal in it, offset, length, doc_id, n_tokens, ids_crc32 and
     start (ids of all records before it in file order). Starts need one running sum
-    per file and one over the files' totals, whose rows are as many as the files.
+    per file and one over the files' totals: one task, with a row per file.
     """
     schema = T.StructType.fromDDL("file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long")
     rows = _parsed(spark, path, schema, with_ids=False)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from strandlake.llm import simhash
 from strandlake.llm._common import slices, unused_name
 
-#: Bound of the fit: labelled rows (in expectation), and bytes of a text that may be among them.
-SAMPLE_ROWS, SAMPLED_TEXT_BYTES = 8000, 1 << 16
+#: Bound of the fit: labelled rows, in expectation. Their texts count whole.
+SAMPLE_ROWS = 8000
 #: Restored tokens that a worker remembers; the memory is emptied when full, which changes no result.
 REMEMBERED = 300_000
 # What look-alikes may stand for.
@@ -208,8 +208,10 @@ def features(word: str) -> list[str]:
 STRONG, MOST_RATIO, MOST_STRONG = 3.5, 30.0, 5.0
 
 
-def bounded(weights: list[float]) -> tuple[float, float]:
-    return max(-MOST_RATIO, min(MOST_RATIO, sum(weights))), min(MOST_STRONG, sum(w for w in weights if w >= STRONG))
+def bounded(weights: list[float], times: list[int] | None = None) -> tuple[float, float]:
+    """What weights testify, each so many times."""
+    told = [w * n for w, n in zip(weights, times, strict=True)] if times else weights
+    return max(-MOST_RATIO, min(MOST_RATIO, sum(told))), min(MOST_STRONG, sum(t for w, t in zip(weights, told, strict=True) if w >= STRONG))
 
 
 class _TokenWeights(dict):
@@ -294,26 +296,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """Learn from labelled rows; the character model from all texts of `corpus` (None: docs).
 
     Of the labelled ids (null labels don't count; an id with several labels counts as
-    toxic if one is) about `rows` are chosen by a hash of the id, and their texts of at
-    most SAMPLED_TEXT_BYTES bytes come to the driver. The ids' bound makes the broadcast
-    safe; no text is shuffled.
+    toxic if one is) about `rows` are chosen by a hash of the id; that bound makes their
+    broadcast safe. Their whole texts are restored where they lie; what is shuffled and
+    comes to the driver are the different words of each, with their counts, once for equal texts.
     """
     model = ToxicityModel(language_model(count_trigrams(docs if corpus is None else corpus, text)), {}, 0.0, 1.0, 0.0, 0.0)
-    marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label).alias("y"))
+    marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label).cast("int").alias("y"))
     n = marked.count()
     if n > rows:
         marked = marked.where(F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
-    texts = docs.where(F.octet_length(text) <= SAMPLED_TEXT_BYTES).select(F.col(id_col).alias("d"), F.col(text).alias("t"))
-    sample = texts.join(F.broadcast(marked), F.col("d") == F.col("i")).select("t", "y").distinct().collect()
-    sample = _without_near_copies(sorted((r["t"], int(r["y"])) for r in sample))
+    texts = docs.select(F.col(id_col).alias("d"), F.col(text).alias("t"))
+    chosen = texts.join(F.broadcast(marked), F.col("d") == F.col("i")).select("t", "y", F.xxhash64(F.coalesce("t", F.lit(""))).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            found = [sorted(Counter(model.words(t)).items()) for t in texts]
+            columns = [pa.array(map(simhash.fingerprint, texts), pa.int64()), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=["y", "h", "fp", "words", "counts"])
+
+    sample = chosen.mapInArrow(run, "y int, h long, fp long, words array<string>, counts array<long>").groupBy("h", "y").agg(F.min(F.struct("fp", "words", "counts")).alias("s")).collect()
+    sample = _without_near_copies(sorted((r["h"], r["y"], r["s"]["fp"], dict(zip(r["s"]["words"], r["s"]["counts"], strict=True))) for r in sample))
     counts, texts_with, tokens = [Counter(), Counter()], Counter(), [0, 0]
-    held = [(model.words(t), y) for t, y in sample]
-    for words, y in held:
-        own = Counter(words)
-        counts[y].update(own)
-        tokens[y] += len(words)
+    for words, y in sample:
+        counts[y].update(words)
+        tokens[y] += sum(words.values())
         if y:
-            texts_with.update({f for w in own for f in features(w)})
+            texts_with.update({f for w in words for f in features(w)})
     if not tokens[0] or not tokens[1]:
         model.shift = -3.0 if not tokens[1] else 3.0
         return model
@@ -332,19 +341,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             excess += max(0.0, c - counts[0][w] * share)
     model.plain = math.log1p(-min(0.5, excess / tokens[1]))
     model.testify(telling)
-    x = np.array([bounded([model.weight(w) for w in words]) for words, _ in held])
-    model.slope, model.strong_slope, model.shift = _calibrated(x, np.array([y for _, y in held], float))
+    x = np.array([bounded([model.weight(w) for w in words], list(words.values())) for words, _ in sample])
+    model.slope, model.strong_slope, model.shift = _calibrated(x, np.array([y for _, y in sample], float))
     return model
 
 
-def _without_near_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The sample without texts whose SimHash lies within 4 bits of an earlier one's: copies would make chance words telling."""
+def _without_near_copies(sample: list[tuple[int, int, int, dict[str, int]]]) -> list[tuple[dict[str, int], int]]:
+    """Words and label of each text whose SimHash (third) doesn't lie within 4 bits of an earlier one's: copies would make chance words telling."""
     seen, kept = np.zeros(len(sample), np.uint64), []
-    for t, y in sample:
-        fp = np.uint64(simhash.fingerprint(t) & (1 << 64) - 1)
-        if not kept or int(np.bitwise_count(seen[: len(kept)] ^ fp).min()) > 4:
+    for _, y, signed, words in sample:
+        fp = np.uint64(signed & (1 << 64) - 1)
+        if not kept or int(np.bitwise_count(seen[: len(kept)] ^ fp).min()) > simhash.DISTANCE:
             seen[len(kept)] = fp
-            kept.append((t, y))
+            kept.append((words, y))
     return kept
 
 

@@ -163,7 +163,7 @@ def brute_force_components(rows):
     return {d: least[root(i)] for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("chain, block", [(1, 2048), (2, 30)])
+@pytest.mark.parametrize("chain, block", [(1, 2048), (2, 30), (3, 400)])
 def test_pigeonring_finds_every_link(spark, chain, block):
     rng = np.random.default_rng(3)
     fps = {int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 150)}
@@ -179,6 +179,10 @@ def test_pigeonring_finds_every_link(spark, chain, block):
     assert all(got.get(x, x) == want[x] for x in fps)
 
 
+def test_chains_grow_with_the_number_of_fingerprints():
+    assert [simhash.chain_for(n, 2048) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**12)] == [1, 1, 2, 2, 3, 3]
+
+
 def test_simhash(docs, none):
     got = {(r["doc_id"]): r for r in simhash.near_duplicates(docs).collect()}
     assert got[3]["fp"] == got[4]["fp"] == got[6]["fp"] == 0 and got[6]["component_id"] == 3

@@ -70,7 +70,8 @@ def mixed(rows):
             for k in (1, 2):
                 taken = sum(times[s][(at + i) // block] >= k for i in range(len(own)))
                 if taken:
-                    yield r | {"text": r["text"] if taken == len(own) else " ".join(own[:taken])}
+                    ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"])]
+                    yield r | {"text": r["text"] if taken == len(own) else r["text"][: ends[taken - 1]]}
             at += len(own)
 
 
