@@ -205,6 +205,23 @@ def ivf(frames: list[bytes], width: int = 16, height: int = 16, times: list[int]
     return head + b"".join(struct.pack("<IQ", len(f), t) + f for t, f in zip(times or range(len(frames)), frames, strict=True))
 
 
+def _element(name: int, body: bytes, unknown: bool = False) -> bytes:
+    raw = name.to_bytes((name.bit_length() + 7) // 8, "big")
+    return raw + (b"\x01" + b"\xff" * 7 if unknown else struct.pack(">Q", len(body) | 1 << 56)) + body
+
+
+def webm(blocks: list[bytes], width: int, height: int, unknown: bool = False, per_cluster: int = 3) -> bytes:
+    """A WebM file with a video and a sound track. unknown: segment and clusters don't tell their size. Every second block stands in a group."""
+    from strandlake.kernel import containers as c
+
+    video = _element(c.VIDEO, _element(c.PIXEL_WIDTH, struct.pack(">H", width)) + _element(c.PIXEL_HEIGHT, struct.pack(">H", height)))
+    track = _element(c.TRACK, _element(c.NUMBER, b"\x01") + _element(c.KIND, b"\x01") + _element(c.CODEC, b"V_VP9") + video)
+    sound = _element(c.TRACK, _element(c.NUMBER, b"\x02") + _element(c.KIND, b"\x02") + _element(c.CODEC, b"A_OPUS"))
+    held = [_element(c.SIMPLE_BLOCK, b"\x81\0\0\x80" + b) if i % 2 == 0 else _element(c.GROUP, _element(c.BLOCK, b"\x81\0\0\0" + b)) for i, b in enumerate(blocks)]
+    clusters = [b"".join(held[i : i + per_cluster]) + _element(c.SIMPLE_BLOCK, b"\x82\0\0\x80sound") for i in range(0, len(held), per_cluster)]
+    return _element(0x1A45DFA3, b"") + _element(c.SEGMENT, _element(c.TRACKS, sound + track) + b"".join(_element(c.CLUSTER, x, unknown) for x in clusters), unknown)
+
+
 def key_header(width: int = 16, height: int = 16, **fields) -> Header:
     from strandlake.kernel.headers import Color
 

@@ -1,9 +1,9 @@
-"""Registered queries over video bitstreams and their SQL.
+"""Registered queries and their SQL.
 
-No table of the test data holds a bitstream. The first group therefore checks closed-form
-arithmetic and relational patterns with unrelated columns as arguments: it says that both
-sides compute the same formula, and nothing about decoding. The second group builds its own
-bitstreams and has no SQL.
+No table of the test data holds a bitstream. The queries of this module check closed-form
+arithmetic and relational patterns with unrelated columns as arguments: they say that both
+sides compute the same formula (tests hold the decoder's own versions to the same functions).
+Queries on bitstreams stand in bitstreams.py.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import arith
+from strandlake.kernel import tables
 from strandlake.operators import framestate
+from strandlake.plans import bitstreams
 
 FLAGSHIP = "dpb_slots"
 
@@ -98,7 +100,9 @@ def context_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "part")
-    cells = t.where("p_partkey < 1600").select(F.expr("cast(p_partkey div 40 as int)").alias("row"), (F.col("p_partkey") % 40).cast("int").alias("col"), (F.col("p_size") % 8).alias("segment"))
+    # the previous map is a grid of 46 x 42 units; a unit that several rows fall on has the least of their segments
+    cells = t.select(F.expr("cast(p_partkey div 42 % 46 as int)").alias("row"), (F.col("p_partkey") % 42).cast("int").alias("col"), (F.col("p_size") % 8).alias("segment"))
+    cells = cells.groupBy("row", "col").agg(F.min("segment").alias("segment"))
     blocks = t.select(F.col("p_partkey").alias("block"), (F.col("p_partkey") * 7 % 38).cast("int").alias("row"), (F.col("p_partkey") * 11 % 38).cast("int").alias("col"), (F.col("p_size") % 8 + 1).alias("rows"), (F.col("p_size") % 5 + 1).alias("cols"))
     return framestate.segment_minimum(blocks, cells)
 
@@ -137,15 +141,25 @@ def mv_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dequant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantizer steps by lookup; the table has 768 rows whatever the data, and Spark sees its size."""
-    from strandlake.kernel.tables import standin
-
-    t, steps = _table(spark, sf_dir, "part"), standin()
-    rows = [(d, i, steps.dc_quant[d][i], steps.ac_quant[d][i]) for d in range(3) for i in range(256)]
-    table = spark.createDataFrame(rows, "depth int, q int, dc int, ac int")
+    t = _table(spark, sf_dir, "part")
+    table = spark.createDataFrame(_steps(), "depth int, q int, dc int, ac int")
     t = t.select("p_partkey", (F.col("p_partkey") % 3).cast("int").alias("depth"), arith.clip3(0, 255, (F.col("p_partkey") * 7 % 300 - 20).cast("int")).alias("q"))
     return t.join(table, ["depth", "q"]).select("p_partkey", "q", "dc", "ac")
 
 
+def _steps() -> list[tuple[int, int, int, int]]:
+    """The format's quantizer steps: depth (8, 10, 12 bits), index, step of the first and of the other coefficients."""
+    steps = tables.load(None)
+    return [(d, i, steps.dc_quant[d][i], steps.ac_quant[d][i]) for d in range(3) for i in range(256)]
+
+
+def dequant_sql() -> str:
+    return f"""
+        WITH steps(d, i, dc, ac) AS (VALUES {", ".join(map(str, _steps()))}),
+        t AS (SELECT p_partkey, (p_partkey % 3)::INT AS d, greatest(0, least(255, (p_partkey * 7 % 300 - 20)::INT)) AS q FROM part)
+        SELECT p_partkey, q, dc, ac FROM t JOIN steps ON steps.d = t.d AND i = q"""
+
+
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
 
@@ -198,7 +212,7 @@ SQL = {
     "context_reset": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey // 8 % 4 = 3 THEN 'all' WHEN o_orderkey // 8 % 4 = 2 THEN 'slot' ELSE 'none' END AS contexts FROM orders""",
     "segment_min": """
-        WITH c AS (SELECT p_partkey // 40 AS r, p_partkey % 40 AS c, p_size % 8 AS segment FROM part WHERE p_partkey < 1600),
+        WITH c AS (SELECT p_partkey // 42 % 46 AS r, p_partkey % 42 AS c, min(p_size % 8) AS segment FROM part GROUP BY ALL),
         b AS (SELECT p_partkey AS block, p_partkey * 7 % 38 AS br, p_partkey * 11 % 38 AS bc, p_size % 8 + 1 AS nr, p_size % 5 + 1 AS nc FROM part)
         SELECT block, min(segment) AS segment FROM b JOIN c ON r >= br AND r < br + nr AND c >= bc AND c < bc + nc GROUP BY block""",
     "last_shown": """
@@ -217,9 +231,6 @@ SQL = {
                CASE WHEN a + b < 0 THEN (a + b - 1) // 2 ELSE (a + b + 1) // 2 END AS mean2, CASE WHEN a + b < 0 THEN (a + b - 2) // 4 ELSE (a + b + 2) // 4 END AS mean4,
                CASE WHEN a % 4 = 0 OR b % 3 = 0 THEN 0 ELSE l_linenumber % 4 END AS context
         FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 13 % 301 - 150)::INT AS a, (l_suppkey * 17 % 401 - 200)::INT AS b FROM lineitem)""",
-    "dequant": """
-        SELECT p_partkey, q, (4 + q) << (2 * d) AS dc, (4 + q + q // 4) << (2 * d) AS ac
-        FROM (SELECT p_partkey, (p_partkey % 3)::INT AS d, greatest(0, least(255, (p_partkey * 7 % 300 - 20)::INT)) AS q FROM part)""",
     "digest": "SELECT doc_id, md5(text) AS digest FROM documents",
     "bt601": """
         WITH t AS (SELECT l_orderkey, l_linenumber, 1.164::DOUBLE * ((l_orderkey % 256)::INT - 16) AS c, (l_partkey % 256)::INT - 128 AS d, (l_suppkey % 256)::INT - 128 AS e FROM lineitem)
@@ -229,84 +240,8 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in [*SQL, *BITSTREAM]}
+    return {name: globals()[name] for name in [*SQL, "dequant"]} | bitstreams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
-
-
-# queries on bitstreams that they build themselves; they are written with the format's tables, but hold no real content
-
-
-def _demo_chunks(spark: SparkSession) -> DataFrame:
-    from strandlake.kernel import fixtures
-    from strandlake.sources import containers
-
-    files = [(f"random-{i}", bytearray(fixtures.ivf(fixtures.random_stream(fixtures.demo_headers(), i)[0], 72, 40))) for i in range(3)]
-    files += [("demo", bytearray(fixtures.demo_stream()))] + [("broken", bytearray(fixtures.demo_stream()[:-5])), ("empty", bytearray())]
-    return containers.chunks_of(spark.createDataFrame(files, "stream_id string, content binary"))
-
-
-def ivf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _demo_chunks(spark).select("stream_id", "chunk_idx", "pts", F.octet_length("data").alias("n_bytes"), "error")
-
-
-def ivf_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header fields of files by native byte slicing."""
-    from strandlake.kernel import fixtures
-
-    files = spark.createDataFrame([("demo", bytearray(fixtures.demo_stream()))], "stream_id string, content binary")
-    fields = {"header_length": (6, 2), "width": (12, 2), "height": (14, 2), "tb_den": (16, 4), "tb_num": (20, 4), "frame_count": (24, 4)}
-    return files.select("stream_id", *(arith.little_endian(F.col("content"), at, size).alias(name) for name, (at, size) in fields.items()))
-
-
-def ivf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.sources import containers
-
-    return containers.ivf_files(_demo_chunks(spark)).select("stream_id", F.md5("content").alias("digest"))
-
-
-def frame_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.plans import streams
-
-    return streams.frame_catalog(_demo_chunks(spark)).drop("frame")
-
-
-def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.plans import streams
-
-    return streams.stream_summary(streams.frame_catalog(_demo_chunks(spark)))
-
-
-def frame_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.plans import streams
-
-    return streams.frame_headers(streams.frame_catalog(_demo_chunks(spark)))
-
-
-def decoded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.plans import streams
-
-    return streams.decode(streams.frame_catalog(_demo_chunks(spark)), planes=False)
-
-
-def frame_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.plans import streams
-
-    return streams.frame_digests(streams.decode(streams.frame_catalog(_demo_chunks(spark)), planes=False))
-
-
-def block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.plans import streams
-
-    return streams.block_modes(streams.frame_catalog(_demo_chunks(spark)))
-
-
-def pictures_png(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.plans import streams
-
-    return streams.pictures_png(streams.decode(streams.frame_catalog(_demo_chunks(spark))))
-
-
-BITSTREAM = ["ivf_headers", "ivf_chunks", "ivf_round_trip", "frame_catalog", "stream_summary", "frame_headers", "decoded_frames", "frame_digests", "block_modes", "pictures_png"]
+    return SQL | {"dequant": dequant_sql()} | bitstreams.sql()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,64 +115,123 @@ def frame_headers(catalog: DataFrame) -> DataFrame:
 
 _INFO = "struct<intra_only boolean, frame_is_intra boolean, reset_frame_context int, segmentation_enabled boolean, seg_features_active array<boolean>>"
 _FRAME = "struct<width int, height int, bit_depth int, subsampling_x int, subsampling_y int, y binary, u binary, v binary>"
+#: The error of frames behind a stream's first one, where they keep a row.
+AFTER_ERROR = "AfterError"
 DECODED = f"stream_id string, chunk_idx bigint, sub_idx int, gop_id bigint, kind string, info {_INFO}, frame {_FRAME}, md5 string, error string"
 
 
+#: Bytes of pictures that leave a task at once.
+BATCH = 16 << 20
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows as Parquet in the folder that driver and executors share, read back: pictures are decoded once, however often they are read."""
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/strandlake/decoded-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def decode(catalog: DataFrame, planes: bool = True, tables: str | None = None, policy: str = "stop_stream") -> DataFrame:
     """Decode frames: kind (new_shown, new_hidden, show_existing), info, frame, md5 of Y, U, V, error.
 
     tables: path of the format's tables (see kernel.tables), readable on every executor;
     None: the shipped ones. planes=False leaves the samples out and keeps the digests.
 
-    policy "stop_stream": groups of pictures decode side by side, and what follows a
-    stream's first error is dropped, so a stream with an error ends with that chunk.
-    "continue": one group per stream, whose decoder goes on after errors. An error drops
-    all other results of its chunk; of the shown frames of a chunk only the last keeps its picture.
+    Runs of chunks from one that begins with a key frame to the next decode side by side; a
+    task reads its runs frame by frame and gives pictures away in batches, so it holds a
+    batch and the reference slots, however long a run is. An error drops all other results
+    of its chunk; of the shown frames of a chunk only the last keeps its picture.
+
+    policy, for what follows a stream's first error: "stop_stream" drops it; "mark" keeps a
+    row of each frame with error AfterError and nothing else; "continue" takes each stream
+    as one run, whose decoder goes on. The first two compare places, not pictures: with
+    planes the rows are written to the shared folder first.
     """
-    if policy not in ("stop_stream", "continue"):
+    if policy not in ("stop_stream", "mark", "continue"):
         raise ValueError(policy)
     info = pa.struct([("intra_only", pa.bool_()), ("frame_is_intra", pa.bool_()), ("reset_frame_context", pa.int32()), ("segmentation_enabled", pa.bool_()), ("seg_features_active", pa.list_(pa.bool_()))])
     frame = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("bit_depth", pa.int32()), ("subsampling_x", pa.int32()), ("subsampling_y", pa.int32()), ("y", pa.binary()), ("u", pa.binary()), ("v", pa.binary())])
     schema = pa.schema([*_PLACE, ("gop_id", pa.int64()), ("kind", pa.string()), ("info", info), ("frame", frame), ("md5", pa.string()), ("error", pa.string())])
 
-    def facts(d) -> dict:
+    def facts(d, keeps: bool) -> dict:
         h, p = d.header, d.picture
         row = {"kind": "show_existing" if h is None else "new_shown" if h.show else "new_hidden"}
         if h is not None:
             active = [h.seg_on and any(s[i] is not None for s in h.features) for i in range(4)]
             row["info"] = {"intra_only": h.intra_only, "frame_is_intra": h.intra, "reset_frame_context": h.reset_context, "segmentation_enabled": h.seg_on, "seg_features_active": active}
-        if p is not None:
+        if p is not None and keeps:
             y, u, v = (x.tobytes() if planes else None for x in p.planes)
             row["frame"] = {"width": p.width, "height": p.height, "bit_depth": p.color.bit_depth, "subsampling_x": p.color.sx, "subsampling_y": p.color.sy, "y": y, "u": u, "v": v}
             row["md5"] = hashlib.md5(p.i420()).hexdigest()
         return row
 
-    def run(key, table):
-        decoder, rows, failed = Decoder(load(tables)), [], None
-        gops = dict(zip(zip(table.column("chunk_idx").to_pylist(), table.column("sub_idx").to_pylist(), strict=True), table.column("gop_id").to_pylist(), strict=True))
-        for r in _in_order(table):
-            row = {k: r[k] for k in ("stream_id", "chunk_idx", "sub_idx")} | {"gop_id": gops[r["chunk_idx"], r["sub_idx"]]}
-            if failed == r["chunk_idx"]:
-                continue  # an error ends its chunk
-            try:
-                rows.append(row | facts(decoder.decode_frame(r["frame"])))
-            except BitstreamError as e:
-                rows.append(row | {"error": e.kind})
-                failed = r["chunk_idx"]
-                if policy == "stop_stream":
-                    break
-        return pa.Table.from_pylist(rows, schema=schema)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+        """Run and frames of each chunk, in order."""
+        now, frames = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+                at = (r["stream_id"], r["_run"], r["chunk_idx"])
+                if at != now and frames:
+                    yield now, frames
+                    frames = []
+                now = at
+                frames.append(r)
+        if frames:
+            yield now, frames
 
-    keys = ["stream_id", "gop_id"] if policy == "stop_stream" else ["stream_id"]
-    out = catalog.select("stream_id", "chunk_idx", "sub_idx", "gop_id", "frame").groupBy(*keys).applyInArrow(run, DECODED)
-    stream, chunk = Window.partitionBy("stream_id"), Window.partitionBy("stream_id", "chunk_idx")
-    failed = F.when(F.col("error").isNotNull(), F.struct("chunk_idx", "sub_idx"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, decoder, ended, rows, held = None, None, False, [], 0
+        for (stream, number, _), frames in chunks(batches):
+            if (stream, number) != known:
+                known, decoder, ended = (stream, number), Decoder(load(tables)), False
+            made = []
+            for r in frames:
+                row = {k: r[k] for k in ("stream_id", "chunk_idx", "sub_idx", "gop_id")}
+                if ended:
+                    made.append(row | {"error": AFTER_ERROR})
+                    continue
+                try:
+                    made.append(row | facts(decoder.decode_frame(r["frame"]), r["keeps_pixels"]))
+                except BitstreamError as e:
+                    rest = [{k: x[k] for k in row} | {"error": AFTER_ERROR} for x in frames if x["sub_idx"] > r["sub_idx"]]
+                    made = [row | {"error": e.kind}, *(rest if policy == "mark" else [])]
+                    ended = policy != "continue"
+                    break
+            rows += [r for r in made if policy == "mark" or r.get("error") != AFTER_ERROR]
+            held += sum(len(r["frame"][k] or b"") for r in made if "frame" in r for k in "yuv")
+            if held >= BATCH or len(rows) >= 4096:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    order = ["stream_id", "chunk_idx", "sub_idx"]
+    starts = F.sum((F.col("is_key") & (F.col("sub_idx") == 0)).cast("int")).over(Window.partitionBy("stream_id").orderBy("chunk_idx", "sub_idx"))
+    work = catalog.select(*order, "gop_id", "keeps_pixels", "frame", (F.lit(0) if policy == "continue" else starts).alias("_run"))
+    out = work.repartition("stream_id", "_run").sortWithinPartitions("stream_id", "_run", "chunk_idx", "sub_idx").mapInArrow(run, DECODED)
+    if policy == "continue":
+        return out
+    place = F.struct("chunk_idx", "sub_idx")
+    if planes:
+        out = _written(out)
+        ends = out.where("error is not null").groupBy("stream_id").agg(F.min(place).alias("_end"))
+        out = out.join(ends, "stream_id", "left")
+    else:
+        out = out.withColumn("_end", F.min(F.when(F.col("error").isNotNull(), place)).over(Window.partitionBy("stream_id")))
+    after = F.coalesce(place > F.col("_end"), F.lit(False))
     if policy == "stop_stream":
-        out = out.withColumn("_end", F.min(failed).over(stream)).where(F.col("_end").isNull() | (F.struct("chunk_idx", "sub_idx") <= F.col("_end"))).drop("_end")
-    out = out.withColumn("_failed", F.max(F.col("error").isNotNull()).over(chunk)).where("not _failed or error is not null").drop("_failed")
-    out = out.withColumn("_last", F.max(F.when(F.col("frame").isNotNull(), F.col("sub_idx"))).over(chunk))
-    superseded = F.col("frame").isNotNull() & (F.col("sub_idx") < F.col("_last"))
-    return out.withColumns({"frame": F.when(~superseded, F.col("frame")), "md5": F.when(~superseded, F.col("md5"))}).drop("_last")
+        out = out.where(~after)
+    else:
+        out = out.withColumns({c: F.when(~after, F.col(c)) for c in ("kind", "info", "frame", "md5")} | {"error": F.when(after, F.lit(AFTER_ERROR)).otherwise(F.col("error"))})
+    return out.select(*schema.names)
 
 
 def frame_digests(decoded: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from strandlake.plans import catalogue
+from strandlake.plans import bitstreams, catalogue
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -21,11 +21,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_sql(spark, con, name):
     got = catalogue.queries()[name](spark, SF)
     columns = sorted(got.columns)
-    cursor = con.execute(catalogue.SQL[name])
+    cursor = con.execute(catalogue.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     plain = lambda r: tuple(int(x) if hasattr(x, "as_tuple") else x for x in r)
@@ -33,13 +33,13 @@ def test_sql(spark, con, name):
     assert sorted((plain(r) for r in got.select(columns).collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", catalogue.BITSTREAM)
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_bitstream_queries_give_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
 def test_native_headers(spark):
-    r = catalogue.ivf_headers(spark, SF).first()
+    r = bitstreams.ivf_headers(spark, SF).first()
     assert (r["header_length"], r["width"], r["height"], r["tb_den"], r["tb_num"], r["frame_count"]) == (32, 16, 16, 30, 1, 4)
 
 
