@@ -29,83 +29,125 @@ def strength(level: int, sharpness: int, depth: int) -> tuple[int, int, int]:
 
 
 def filtered(s: np.ndarray, tx: int, limit: int, blimit: int, thresh: int, depth: int) -> np.ndarray:
-    """Samples across an edge (one row each: 8 before, 8 behind, or 4 and 4 for the smaller sizes) after filtering."""
-    mid = s.shape[1] // 2
-    p = [s[:, mid - 1 - k] for k in range(mid)]
-    q = [s[:, mid + k] for k in range(mid)]
-    dist = lambda a, b: np.abs(a - b)
-    use = dist(p[0], q[0]) * 2 + dist(p[1], q[1]) // 2 <= blimit
-    for side in (p, q):
-        for k in range(3):
-            use &= dist(side[k + 1], side[k]) <= limit
-    if not use.any():
-        return s
-    sharp = (dist(p[1], p[0]) > thresh) | (dist(q[1], q[0]) > thresh)
-    even = 1 << (depth - 8)
-    flat = np.zeros_like(use) if tx == 0 else np.all([dist(side[k], side[0]) <= even for side in (p, q) for k in (1, 2, 3)], axis=0)
-    flatter = np.zeros_like(use) if tx < 2 else flat & np.all([dist(side[k], side[0]) <= even for side in (p, q) for k in (4, 5, 6, 7)], axis=0)
-    out = s.copy()
-
-    narrow = use & ~flat
-    if narrow.any():
+    """Samples across one edge (a row each: 8 before, 8 behind, or 4 and 4) after filtering with one size and strength."""
+    spare = 8 - s.shape[1] // 2
+    lanes = np.pad(s, ((0, 0), (spare, spare)), mode="edge").T.astype(np.int32)
+    _filter(lanes, *(np.full(len(s), v, np.int32) for v in (tx, limit, blimit, thresh)), depth)
+    return lanes[spare : 16 - spare].T
+
+
+def _filter(s: np.ndarray, width: np.ndarray, limit: np.ndarray, blimit: np.ndarray, thresh: np.ndarray, depth: int) -> np.ndarray:
+    """Filter 8 samples before and 8 behind an edge, a line of s each, in place; the other arguments go with its columns.
+
+    width: 0 for four samples, 1 for eight, 2 for sixteen. Returns the columns that changed.
+    """
+    step = np.abs(np.diff(s[4:12], axis=0))  # between neighbours; the edge lies in step[3]
+    use = 2 * step[3] + np.abs(s[6] - s[9]) // 2 <= blimit
+    use &= (step[[0, 1, 2, 4, 5, 6]] <= limit).all(axis=0)
+    at = np.flatnonzero(use)
+    if not len(at):
+        return at
+    t, even, wide = s[:, at], 1 << (depth - 8), width[at]
+    near = (np.abs(t[4:7] - t[7]) <= even).all(axis=0) & (np.abs(t[9:12] - t[8]) <= even).all(axis=0)
+    flat = near & (wide > 0)
+    flatter = flat & (wide > 1)
+    if flatter.any():
+        flatter &= (np.abs(t[0:4] - t[7]) <= even).all(axis=0) & (np.abs(t[12:16] - t[8]) <= even).all(axis=0)
+    out = t.copy()
+    if len(c := np.flatnonzero(~flat)):
+        sharp = np.maximum(step[2, at[c]], step[4, at[c]]) > thresh[at[c]]
         half, top = 1 << (depth - 1), (128 << (depth - 8)) - 1
-        clamp = lambda v: np.clip(v, -top - 1, top)
-        p1, p0, q0, q1 = (v - half for v in (p[1], p[0], q[0], q[1]))
+        clamp = lambda v: np.minimum(np.maximum(v, -top - 1), top)
+        p1, p0, q0, q1 = t[6:10, c] - half
         f = clamp(np.where(sharp, clamp(p1 - q1), 0) + 3 * (q0 - p0))
         f1, f2 = clamp(f + 4) >> 3, clamp(f + 3) >> 3
-        f3 = (f1 + 1) >> 1
-        for k, v, where in ((0, q0 - f1, narrow), (-1, p0 + f2, narrow), (1, q1 - f3, narrow & ~sharp), (-2, p1 + f3, narrow & ~sharp)):
-            out[:, mid + k] = np.where(where, clamp(v) + half, out[:, mid + k])
-    for log2, where in ((3, use & flat & ~flatter), (4, use & flatter)):
-        if where.any():
+        f3 = np.where(sharp, 0, (f1 + 1) >> 1)
+        out[6:10, c] = clamp(np.stack([p1 + f3, p0 + f2, q0 - f1, q1 - f3])) + half
+    for log2, c in ((3, np.flatnonzero(flat & ~flatter)), (4, np.flatnonzero(flatter))):
+        if len(c):
             n = (1 << (log2 - 1)) - 1
-            reach = np.arange(-n, n + 1)
-            for i in range(-n, n):
-                taps = mid + np.clip(i + reach, -n - 1, n)
-                value = (s[:, taps].sum(axis=1) + s[:, mid + i] + (1 << (log2 - 1))) >> log2
-                out[:, mid + i] = np.where(where, value, out[:, mid + i])
-    return out
+            # sums over windows of 2n + 1 lines, the outermost ones repeated
+            lines = t[8 + np.clip(np.arange(-2 * n, 2 * n), -n - 1, n)][:, c]
+            sums = np.concatenate([np.zeros((1, len(c)), np.int32), np.cumsum(lines, axis=0, dtype=np.int32)])
+            out[8 - n : 8 + n, c] = (sums[2 * n + 1 :] - sums[: 2 * n] + lines[n : 3 * n] + (1 << (log2 - 1))) >> log2
+    s[:, at] = out
+    return at
 
 
-def filter_frame(planes: list[np.ndarray], grid: list[list], h: Header, sx: int, sy: int, depth: int) -> None:
-    """Filter all planes in place. grid: the block of each mode-info unit."""
-    table = levels(h)
-    for plane_at, plane in enumerate(planes):
-        px, py = (sx, sy) if plane_at else (0, 0)
-        for row in range(0, h.mi_rows, 8):
-            for col in range(0, h.mi_cols, 8):
-                for across_rows in (False, True):
-                    _superblock(plane, plane_at > 0, grid, h, table, row, col, across_rows, px, py, sx, sy, depth)
+def _units(grid: list[list], h: Header, sx: int, sy: int) -> dict[str, np.ndarray]:
+    """What edges ask of the block at each mode-info unit."""
+    table, known = levels(h), {}
+    for line in grid[: h.mi_rows]:
+        for b in line[: h.mi_cols]:
+            if id(b) not in known:
+                moving = b.mode in (spec.NEAREST, spec.NEAR, spec.NEW)
+                outer = max(b.size, spec.B16)
+                known[id(b)] = (b.tx, spec.uv_tx(b.size, b.tx, sx, sy), spec.WIDE8[b.size], spec.HIGH8[b.size], spec.WIDE8[outer], spec.HIGH8[outer], b.refs[0] == spec.INTRA or not b.skip, table[b.segment][b.refs[0]][moving])
+    cells = np.array([[known[id(b)] for b in line[: h.mi_cols]] for line in grid[: h.mi_rows]], np.int32)
+    return dict(zip(("tx", "uv_tx", "wide", "high", "outer_wide", "outer_high", "inner", "level"), np.moveaxis(cells, 2, 0), strict=True))
 
 
-def _superblock(plane, chroma: bool, grid, h: Header, table, row: int, col: int, across_rows: bool, px: int, py: int, sx: int, sy: int, depth: int) -> None:
+def _edges(units: dict[str, np.ndarray], h: Header, chroma: bool, across_rows: bool, px: int, py: int) -> tuple[np.ndarray, ...]:
+    """Edges to filter in a plane, as runs of one unit: number of the edge, unit along it, filter width, level."""
     own, along = (py, px) if across_rows else (px, py)  # subsampling across the edges and along them
-    for edge in range(16 >> own):
-        for unit in range(8):
-            if across_rows:
-                x, y = (col + unit) * 8, row * 8 + edge * (4 << py)
-            else:
-                x, y = col * 8 + edge * (4 << px), (row + unit) * 8
-            if x >= 8 * h.mi_cols or y >= 8 * h.mi_rows or (y if across_rows else x) == 0:
-                continue
-            block = grid[((y >> 3) >> py) << py][((x >> 3) >> px) << px]
-            tx = spec.uv_tx(block.size, block.tx, sx, sy) if chroma else block.tx
-            # subsampled planes judge the edges of blocks under 16x16 as theirs
-            size = max(block.size, spec.B16) if own else block.size
-            at_block = (y % (8 * spec.HIGH8[size]) if across_rows else x % (8 * spec.WIDE8[size])) == 0
-            at_tx = edge % (1 << tx) == 0
-            if across_rows and px == 1 and h.mi_cols % 2 == 1 and edge % 2 == 1 and x + 8 >= h.mi_cols * 8:
-                at_tx = False
-            if not (at_block or at_tx and (block.refs[0] == spec.INTRA or not block.skip)):
-                continue
-            level = table[block.segment][block.refs[0]][block.mode in (spec.NEAREST, spec.NEAR, spec.NEW)]
-            if level == 0:
-                continue
-            width = 1 if tx == 0 and edge % 8 == 0 else min(tx, 2)
-            if width == 2 and own and ((y >> 3) == h.mi_rows - 1 if across_rows else (x >> 3) == h.mi_cols - 1):
-                width = 1
-            n, reach = 8 >> along, 8 if width == 2 else 4
-            a, b = x >> px, y >> py
-            part = plane[b - reach : b + reach, a : a + n].T if across_rows else plane[b : b + n, a - reach : a + reach]
-            done = filtered(part.astype(np.int64), width, *strength(level, h.sharpness, depth), depth)
-            part[:] = done
+    across, beside = (h.mi_rows, h.mi_cols) if across_rows else (h.mi_cols, h.mi_rows)
+    edge, unit = np.meshgrid(np.arange(-(-8 * across // (4 << own))), np.arange(beside), indexing="ij")
+    far = edge * (4 << own)  # in luma samples
+    block, other = (far >> 3) >> own << own, unit >> along << along
+    at = (block, other) if across_rows else (other, block)
+    tx = units["uv_tx" if chroma else "tx"][at]
+    # subsampled planes judge the edges of blocks under 16x16 as theirs
+    size = units[("outer_" if own else "") + ("high" if across_rows else "wide")][at]
+    inside = edge % (16 >> own)
+    at_block, at_tx = far % (8 * size) == 0, inside % (1 << tx) == 0
+    if across_rows and px == 1 and h.mi_cols % 2 == 1:
+        at_tx &= ~((inside % 2 == 1) & (unit == h.mi_cols - 1))
+    level = units["level"][at]
+    wanted = (edge > 0) & (level > 0) & (at_block | at_tx & (units["inner"][at] > 0))
+    width = np.where((tx == 0) & (inside % 8 == 0), 1, np.minimum(tx, 2))
+    if own:
+        width[(width == 2) & (far >> 3 == across - 1)] = 1
+    return tuple(x[wanted] for x in (edge, unit, width, level))
+
+
+def waves(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Superblocks in turn: one waits for its left neighbour and for those above, up to the one above to the right."""
+    return col + 2 * row
+
+
+def filter_frame(planes: list[np.ndarray], grid: list[list], h: Header, sx: int, sy: int, depth: int, turns=waves) -> None:
+    """Filter all planes in place. grid: the block of each mode-info unit.
+
+    What one edge number takes from all superblocks of a turn is filtered at once: they
+    touch no sample in common.
+    """
+    units = _units(grid, h, sx, sy)
+    strengths = np.array([strength(level, h.sharpness, depth) for level in range(64)], np.int32)
+    for plane_at, plane in enumerate(planes):
+        px, py = (sx, sy) if plane_at else (0, 0)
+        wide = plane.shape[1] + 16
+        samples = np.pad(plane.astype(np.int32), 8).reshape(-1)
+        found = []
+        for across_rows in (False, True):
+            edge, unit, width, level = _edges(units, h, plane_at > 0, across_rows, px, py)
+            own, along = (py, px) if across_rows else (px, py)
+            sb, beside = edge // (16 >> own), unit // 8
+            turn = turns(sb, beside) if across_rows else turns(beside, sb)
+            # the runs' first samples; a run has 8 of them, or 4
+            across_at, along_at = 8 + edge * 4, 8 + unit * (8 >> along)
+            first = across_at * wide + along_at if across_rows else along_at * wide + across_at
+            found.append(np.stack([turn * 64 + 32 * across_rows + edge % (16 >> own), first, width, level, np.full(len(edge), across_rows)]))
+        order, first, width, level, kind = np.concatenate(found, axis=1)
+        ranked = np.argsort(order, kind="stable")
+        cuts = np.flatnonzero(np.diff(order[ranked])) + 1
+        for run in np.split(ranked, cuts) if len(ranked) else []:
+            across_rows = bool(kind[run[0]])
+            n, step, aside = (8 >> px, wide, 1) if across_rows else (8 >> py, 1, wide)
+            base = (first[run][:, None] + aside * np.arange(n)).reshape(-1)
+            place = (np.arange(-8, 8) * step)[:, None] + base
+            lanes = samples[place]
+            limits = np.repeat(strengths[level[run]], n, axis=0)
+            changed = _filter(lanes, np.repeat(width[run], n), limits[:, 0], limits[:, 1], limits[:, 2], depth)
+            if len(changed):
+                samples[place[1:15, changed]] = lanes[1:15, changed]
+        plane[:] = samples.reshape(-1, wide)[8:-8, 8:-8]

@@ -15,6 +15,26 @@ def _smooth3(a, b, c):
     return (a + 2 * b + c + 2) >> 2
 
 
+def _plain(plane: np.ndarray, part: np.ndarray, x: int, y: int, n: int, left: bool, above: bool, mode: int, base: int, top: int) -> bool:
+    """Predict part by mode V, H, DC or TM where all neighbours that exist lie inside of the frame; false for other modes."""
+    if mode == spec.V:
+        part[:] = plane[y - 1, x : x + n] if above else base - 1
+    elif mode == spec.H:
+        part[:] = plane[y : y + n, x - 1 : x] if left else base + 1
+    elif mode == spec.DC:
+        total = (int(plane[y - 1, x : x + n].sum()) if above else 0) + (int(plane[y : y + n, x - 1].sum()) if left else 0)
+        count = n * (above + left)
+        part[:] = (total + (count >> 1)) // count if count else base
+    elif mode == spec.TM:
+        row = plane[y - 1, x : x + n].astype(np.int32) if above else np.full(n, base - 1, np.int32)
+        side = plane[y : y + n, x - 1].astype(np.int32) if left else np.full(n, base + 1, np.int32)
+        corner = int(plane[y - 1, x - 1]) if above and left else base + 1 if above else base - 1
+        part[:] = np.minimum(np.maximum(row + (side - corner)[:, None], 0), top)
+    else:
+        return False
+    return True
+
+
 def intra(plane: np.ndarray, x: int, y: int, left: bool, above: bool, more_right: bool, tx: int, mode: int, last_x: int, last_y: int, depth: int) -> None:
     """Predict the square of a transform block at (x, y) in place.
 
@@ -22,6 +42,9 @@ def intra(plane: np.ndarray, x: int, y: int, left: bool, above: bool, more_right
     the right may be read (4x4 blocks only, others repeat the last one).
     """
     n, base = 4 << tx, 1 << (depth - 1)
+    part = plane[y : y + n, x : x + n]
+    if x + n - 1 <= last_x and y + n - 1 <= last_y and _plain(plane, part, x, y, n, left, above, mode, base, (1 << depth) - 1):
+        return
     edge = np.full(2 * n + 1, base - 1, np.int64)  # corner, then above
     if above:
         row = plane[y - 1]
@@ -41,7 +64,7 @@ def intra(plane: np.ndarray, x: int, y: int, left: bool, above: bool, more_right
     elif mode == spec.H:
         out[:] = side[:, None]
     elif mode == spec.TM:
-        out = np.clip(top[None, :n] + side[:, None] - edge[0], 0, (1 << depth) - 1)
+        out = np.minimum(np.maximum(top[None, :n] + side[:, None] - edge[0], 0), (1 << depth) - 1)
     elif mode == spec.D45:
         s = i + j
         reach = np.append(top, top[-1])
@@ -88,10 +111,10 @@ def block_from(ref: np.ndarray, x: int, y: int, step_x: int, step_y: int, w: int
     px = x + step_x * np.arange(w)
     xs = np.clip((px >> 4)[:, None] + np.arange(8)[None] - 3, 0, ref.shape[1] - 1)
     taken = ref[ys].astype(np.int64)[:, xs]
-    mid = np.clip((np.einsum("rwt,wt->rw", taken, _FILTERS[kind][px & 15]) + 64) >> 7, 0, top)
+    mid = np.minimum(np.maximum((np.einsum("rwt,wt->rw", taken, _FILTERS[kind][px & 15]) + 64) >> 7, 0), top)
     py = (y & 15) + step_y * np.arange(h)
     out = np.einsum("htw,ht->hw", mid[(py >> 4)[:, None] + np.arange(8)[None]], _FILTERS[kind][py & 15])
-    return np.clip((out + 64) >> 7, 0, top)
+    return np.minimum(np.maximum((out + 64) >> 7, 0), top)
 
 
 def towards_zero(value: int, by: int) -> int:

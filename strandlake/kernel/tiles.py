@@ -67,6 +67,10 @@ def tile_start(tile: int, mis: int, log2: int) -> int:
     return min(((tile * ((mis + 7) >> 3)) >> log2) << 3, mis)
 
 
+#: Squares of 4x4 coefficients that are transformed at once.
+TOGETHER = 1 << 14
+
+
 class FrameDecoder:
     """Decodes the tiles of one frame into planes and a grid of blocks."""
 
@@ -78,6 +82,8 @@ class FrameDecoder:
         self.shape = [(color.sx if p else 0, color.sy if p else 0) for p in range(3)]
         self.planes = [np.zeros((rows * 8 >> sy, cols * 8 >> sx), np.uint16) for sx, sy in self.shape]
         self.grid: list[list[Block | None]] = [[None] * cols for _ in range(rows)]
+        #: Coefficients of inter blocks that are still to be added, by plane, size and kind.
+        self.waiting: dict[tuple[int, int, int], list[tuple]] = {}
         self.above_partition, self.left_partition = [0] * cols, [0] * 8
         self.above_nonzero, self.left_nonzero = [[0] * (2 * cols + 16) for _ in range(3)], [[0] * 32 for _ in range(3)]
         self.above_predicted, self.left_predicted = [0] * (cols + 8), [0] * 8
@@ -101,6 +107,7 @@ class FrameDecoder:
             over, unused = self.d.slack()
             if over > MOST_OVER or unused > MOST_UNUSED:
                 raise BitstreamError("CorruptTile")
+        self.add_waiting()
 
     # partitions
 
@@ -521,6 +528,8 @@ class FrameDecoder:
         h, coded = self.h, 0
         inter = b.refs[0] > spec.INTRA
         outer = max(b.size, spec.B8)
+        if not inter and self.waiting:
+            self.add_waiting()  # intra prediction reads samples beside the block
         for p in range(3):
             sx, sy = self.shape[p]
             tx = spec.uv_tx(b.size, b.tx, *self.shape[1]) if p else b.tx
@@ -601,14 +610,36 @@ class FrameDecoder:
         if c == 0:
             return 0
         dc, ac = self.quant[b.segment][p > 0]
-        block = np.zeros(n * n, np.int64)
-        for at, v in values.items():
-            scaled = abs(v) * (ac if at else dc) // (2 if tx == 3 else 1)
-            block[at] = -scaled if v < 0 else scaled
-        part = self.planes[p][y : y + n, x : x + n]
-        part[:] = np.clip(part + transform.inverse(block.reshape(n, n), tx, kind, self.h.lossless), 0, (1 << self.color.bit_depth) - 1)
+        places = list(values)
+        scaled = [abs(v) * (ac if at else dc) // (2 if tx == 3 else 1) * (-1 if v < 0 else 1) for at, v in values.items()]
+        if inter:
+            # inter prediction reads no sample of this frame: these blocks wait and are transformed together
+            self.waiting.setdefault((p, tx, kind), []).append((x, y, places, scaled))
+        elif places == [0] and kind == spec.DCT_DCT and not self.h.lossless:
+            self.add(p, x, y, n, transform.inverse_first(scaled[0], tx))
+        else:
+            block = np.zeros(n * n, np.int64)
+            block[places] = scaled
+            self.add(p, x, y, n, transform.inverse(block.reshape(n, n), tx, kind, self.h.lossless))
         return 1
 
+    def add(self, p: int, x: int, y: int, n: int, residual) -> None:
+        part = self.planes[p][y : y + n, x : x + n]
+        part[:] = np.minimum(np.maximum(part.astype(np.int32) + residual, 0), (1 << self.color.bit_depth) - 1)
+
+    def add_waiting(self) -> None:
+        """Transform and add the coefficients of inter blocks, all of one size and kind at once."""
+        for (p, tx, kind), found in self.waiting.items():
+            n = 4 << tx
+            for first in range(0, len(found), TOGETHER >> 2 * tx):
+                part = found[first : first + (TOGETHER >> 2 * tx)]
+                blocks = np.zeros((len(part), n * n), np.int64)
+                for line, (_, _, places, scaled) in zip(blocks, part, strict=True):
+                    line[places] = scaled
+                for (x, y, _, _), residual in zip(part, transform.inverse(blocks.reshape(-1, n, n), tx, kind, self.h.lossless), strict=True):
+                    self.add(p, x, y, n, residual)
+        self.waiting = {}
+
     def larger_token(self, p: int) -> int:
         pareto = self.tables.pareto_probs(p)
         at = 4

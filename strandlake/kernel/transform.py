@@ -156,17 +156,25 @@ def _inverse_walsh(t: list[np.ndarray], shift: int) -> list[np.ndarray]:
     return [a - b, b, c, d + c]
 
 
-def inverse(block: np.ndarray, tx: int, kind: int, lossless: bool) -> np.ndarray:
-    """Residual samples of a square of dequantized coefficients (int64)."""
+def inverse(blocks: np.ndarray, tx: int, kind: int, lossless: bool) -> np.ndarray:
+    """Residual samples of squares of dequantized coefficients (int64; any number of them in the leading axes)."""
     n = tx + 2
-    for columns in (False, True):
-        lines = list(block if columns else block.T)
+    for axis in (-1, -2):
+        lines = [blocks.take(i, axis) for i in range(1 << n)]
         if lossless:
-            lines = _inverse_walsh(lines, 0 if columns else 2)
-        elif kind in ((spec.ADST_DCT, spec.ADST_ADST) if columns else (spec.DCT_ADST, spec.ADST_ADST)):
+            lines = _inverse_walsh(lines, 2 if axis == -1 else 0)
+        elif kind in ((spec.DCT_ADST, spec.ADST_ADST) if axis == -1 else (spec.ADST_DCT, spec.ADST_ADST)):
             lines = _inverse_adst(lines, n)
         else:
             lines = _inverse_dct(lines, n)
-        block = np.stack(lines) if columns else np.stack(lines).T
+        blocks = np.stack(lines, axis)
     shift = min(n + 2, 6)
-    return block if lossless else (block + (1 << (shift - 1))) >> shift
+    return blocks if lossless else (blocks + (1 << (shift - 1))) >> shift
+
+
+def inverse_first(value: int, tx: int) -> int:
+    """The residual sample that all of a square has whose only coefficient is the first (cosine transforms, not lossless)."""
+    for _ in range(2):
+        value = (value * _COS[16] + (1 << 13)) >> 14
+    shift = min(tx + 4, 6)
+    return (value + (1 << (shift - 1))) >> shift

@@ -1,4 +1,4 @@
-"""The shipped tables: shapes (checked as they are read) and spot values of prob_tables.rs, quant.rs and scan.rs."""
+"""The shipped tables: shapes (checked as they are read) and spot values of the public specification."""
 
 from strandlake.kernel.decoder import Decoder
 from strandlake.kernel.fixtures import TileWriter, key_header
