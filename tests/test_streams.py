@@ -133,3 +133,51 @@ def test_streaming_waits_for_order(spark, tmp_path):
     rows = spark.table("headers").collect()
     assert sorted((r["chunk_idx"], r["sub_idx"]) for r in rows) == [(0, 0), (1, 0), (1, 1), (2, 0), (3, 0)]
     assert [r["is_key"] for r in sorted(rows, key=lambda r: (r["chunk_idx"], r["sub_idx"]))] == [True, False, False, False, True]
+
+
+def test_streaming_gives_up_on_a_missing_chunk(spark, tmp_path):
+    """Five chunks wait for number 1; a sixth ends the stream, and what comes later is ignored."""
+    from strandlake.streaming.ordered import stream_headers
+
+    key = fixtures.frame(fixtures.key_header(), lambda r, c: {})
+    schema = "stream_id string, chunk_idx bigint, data binary"
+    for order in ((0, 2, 3), (4, 5, 6, 7), (1, 8)):
+        spark.createDataFrame([("s", i, bytearray(key)) for i in order], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream_headers(live, patience=5).writeStream.format("memory").queryName("given_up").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r["chunk_idx"], r["error"] or "") for r in spark.table("given_up").collect()) == [(0, ""), (1, "MissingChunk")]
+
+
+def test_waiting_chunks_keep_their_headers_only():
+    from strandlake.streaming.ordered import HEAD, heads_of
+
+    draw = np.random.default_rng(1)
+    for n in (1, 2, 5):
+        frames = [fixtures.write_header(h) + draw.bytes(int(draw.integers(0, 3000))) for h in fixtures.demo_headers()[:n]]
+        chunk = join_superframe(frames) if n > 1 else frames[0]
+        short = heads_of(chunk)
+        assert len(short) <= min(len(chunk), n * HEAD + 40)
+        assert [vars(h) for h in Decoder().headers_only(short)] == [vars(h) for h in Decoder().headers_only(chunk)]
+
+
+def test_frames_behind_an_error_are_marked(spark):
+    key = fixtures.frame(fixtures.key_header(), lambda r, c: {})
+    lost = fixtures.write_header(Header(show=True, resilient=True, width=16, height=16, refs=[0, 0, 0], interp_filter=0, compressed_size=9))
+    rows = [("s", i, None, bytearray(c)) for i, c in enumerate([key, join_superframe([key, lost, key]), join_superframe([lost, key]), key])]
+    catalog = streams.frame_catalog(spark.createDataFrame(rows, "stream_id string, chunk_idx bigint, pts decimal(20,0), data binary"))
+    for planes in (False, True):
+        got = streams.decode(catalog, planes=planes, policy="mark").orderBy("chunk_idx", "sub_idx").collect()
+        assert [(r["chunk_idx"], r["sub_idx"], r["error"], r["frame"] is not None) for r in got] == [(0, 0, None, True), (1, 1, "TruncatedFrame", False), (1, 2, streams.AFTER_ERROR, False), (2, 0, streams.AFTER_ERROR, False), (2, 1, streams.AFTER_ERROR, False), (3, 0, streams.AFTER_ERROR, False)]
+
+
+def test_a_key_frame_inside_of_a_chunk(spark):
+    """A chunk isn't split between runs, whichever of its frames are key frames."""
+    key = fixtures.frame(fixtures.key_header(), lambda r, c: {"mode": spec.V, "uv_mode": spec.V})
+    other = fixtures.frame(fixtures.key_header(32, 16), lambda r, c: {"mode": spec.H, "uv_mode": spec.H})
+    again = fixtures.write_header(Header(show_existing=0))
+    rows = [("s", i, None, bytearray(c)) for i, c in enumerate([key, join_superframe([again, other]), again, key])]
+    catalog = streams.frame_catalog(spark.createDataFrame(rows, "stream_id string, chunk_idx bigint, pts decimal(20,0), data binary"))
+    got = streams.decode(catalog, planes=False).where("md5 is not null").orderBy("chunk_idx", "sub_idx").collect()
+    assert [(r["chunk_idx"], r["sub_idx"], r["frame"]["width"]) for r in got] == [(0, 0, 16), (1, 1, 32), (2, 0, 32), (3, 0, 16)]
