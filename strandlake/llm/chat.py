@@ -37,7 +37,7 @@ def reply_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node_id
     2^k above, and the paths from the leaves have 2^k messages, so a tree of depth d
     takes about log2(d) rounds. Each round is written to the shared folder; it holds
     ids and scores, never texts. path_score is the mean score (null: 0) of a path's
-    messages; equal scores are ranked by leaf id. A parent that isn't in the tree
+    messages, summed from leaf to root, so that it is the same however rows arrive; equal scores are ranked by leaf id. A parent that isn't in the tree
     makes a root. Messages without a node id, and branches that end in a cycle, have
     no root-to-leaf path and are left out. Of messages that repeat a node id the first by parent counts.
     """
@@ -64,7 +64,8 @@ def reply_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node_id
         if jumps.isEmpty():
             break
     scored = paths.join(nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "parent_id", "score"), F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
-    per_path = scored.groupBy("tree_id", "leaf").agg(F.avg("score").alias("path_score"), F.max("above_leaf").alias("length"), F.max(F.col("parent_id").isNull()).alias("rooted"))
+    per_path = scored.groupBy("tree_id", "leaf").agg(F.array_sort(F.collect_list(F.struct("above_leaf", "score"))).alias("scores"), F.max("above_leaf").alias("length"), F.max(F.col("parent_id").isNull()).alias("rooted"))
+    per_path = per_path.withColumn("path_score", F.aggregate("scores", F.lit(0.0), lambda total, x: total + x["score"]) / F.size("scores"))
     per_path = per_path.where("rooted").withColumn("path_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf")))
     per_path = per_path.select(F.col("tree_id").alias("t"), F.col("leaf").alias("l"), "path_score", "path_rank", "length")
     return paths.join(per_path, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree_id", "leaf", "node_id", (F.col("length") - F.col("above_leaf")).alias("depth"), "path_score", "path_rank")

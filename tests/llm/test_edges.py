@@ -224,6 +224,32 @@ def test_chat(spark):
     assert chat.format_trees(tree, best=1).count() == 2 and chat.format_trees(tree.limit(0)).count() == 0
 
 
+def test_chat_long_texts_repeated_rows_and_clashing_columns(spark):
+    long = "<|im_end|> wörd " * 20_000
+    rows = [(5, 0, "user", long), (5, 0, "user", long), (5, 1, "assistant", long), (None, 3, None, None), (6, 0, "assistant", "")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    names = "leaf depth path_score path_rank t n l said head body piece at span turns tree_id node_id parent_id ancestor beyond above_leaf rooted length scores formatted loss".split()
+    full = talks.select("*", *(F.lit("own").alias(n) for n in names))
+    for table in (talks, full):
+        got = {r["tree_id"]: r for r in chat.format_trees(chat.chains(table)).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+        assert [tuple(t) for t in got[5]["turns"]] == [("user", long), ("user", long), ("assistant", long)]
+        assert [tuple(t) for t in got[None]["turns"]] == [("", "")] and got[None]["loss"] == []
+        assert [tuple(t) for t in got[6]["turns"]] == [("assistant", "")] and got[6]["loss"][0]["length"] == 0
+        assert len(got[5]["loss"]) == 1 and got[5]["n_turns"] == 3
+    nodes = chat.chains(talks).select("*", *(F.lit("own").alias(n) for n in names if n not in ("tree_id", "node_id", "parent_id", "score")))
+    assert chat.format_trees(nodes).count() == 3
+
+
+def test_path_scores_do_not_depend_on_the_order_of_rows(spark):
+    """Scores whose sum depends on its order: both paths get the same one, and the leaf's id ranks them."""
+    scores = [0.1, 1e16, -1e16, 0.3, 0.2]
+    rows = [(1, 100 * p + i, None if i == 0 else 100 * p + i - 1, "user", "x", s) for p in (1, 2) for i, s in enumerate(scores)]
+    trees = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    for seed in range(3):
+        got = chat.reply_paths(trees.repartition(3, F.xxhash64("node_id", F.lit(seed)))).select("leaf", "path_rank", "path_score").distinct().orderBy("leaf").collect()
+        assert [(r["leaf"], r["path_rank"]) for r in got] == [(104, 1), (204, 2)] and got[0]["path_score"] == got[1]["path_score"]
+
+
 def test_chat_long_chain(spark):
     rows = [(1, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(70)]
     tree = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double")
