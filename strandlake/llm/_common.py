@@ -36,6 +36,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all operators under the shared folder. For when their results have been written elsewhere: DataFrames that still read them fail."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/strandlake")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
     spark = df.sparkSession
