@@ -138,6 +138,29 @@ def _written(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def _in_runs(catalog: DataFrame, one: bool = False) -> DataFrame:
+    """The catalogue's frames, dealt to tasks by runs and in order inside: from a chunk that begins with a key frame to the next (one: a stream is one run)."""
+    starts = F.sum((F.col("is_key") & (F.col("sub_idx") == 0)).cast("int")).over(Window.partitionBy("stream_id").orderBy("chunk_idx", "sub_idx"))
+    rows = catalog.select("stream_id", "chunk_idx", "sub_idx", "gop_id", "keeps_pixels", "frame", (F.lit(0) if one else starts).alias("_run"))
+    return rows.repartition("stream_id", "_run").sortWithinPartitions("stream_id", "_run", "chunk_idx", "sub_idx")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Run (stream, number) and frames of each chunk, in order."""
+    now, frames = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+            at = (r["stream_id"], r["_run"], r["chunk_idx"])
+            if at != now and frames:
+                yield now[:2], frames
+                frames = []
+            now = at
+            frames.append(r)
+    if frames:
+        yield now[:2], frames
+
+
 def decode(catalog: DataFrame, planes: bool = True, tables: str | None = None, policy: str = "stop_stream") -> DataFrame:
     """Decode frames: kind (new_shown, new_hidden, show_existing), info, frame, md5 of Y, U, V, error.
 
@@ -172,26 +195,11 @@ def decode(catalog: DataFrame, planes: bool = True, tables: str | None = None, p
             row["md5"] = hashlib.md5(p.i420()).hexdigest()
         return row
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-        """Run and frames of each chunk, in order."""
-        now, frames = None, []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                at = (r["stream_id"], r["_run"], r["chunk_idx"])
-                if at != now and frames:
-                    yield now, frames
-                    frames = []
-                now = at
-                frames.append(r)
-        if frames:
-            yield now, frames
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, decoder, ended, rows, held = None, None, False, [], 0
-        for (stream, number, _), frames in chunks(batches):
-            if (stream, number) != known:
-                known, decoder, ended = (stream, number), Decoder(load(tables)), False
+        for at, frames in _chunks(batches):
+            if at != known:
+                known, decoder, ended = at, Decoder(load(tables)), False
             made = []
             for r in frames:
                 row = {k: r[k] for k in ("stream_id", "chunk_idx", "sub_idx", "gop_id")}
@@ -213,10 +221,7 @@ def decode(catalog: DataFrame, planes: bool = True, tables: str | None = None, p
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    order = ["stream_id", "chunk_idx", "sub_idx"]
-    starts = F.sum((F.col("is_key") & (F.col("sub_idx") == 0)).cast("int")).over(Window.partitionBy("stream_id").orderBy("chunk_idx", "sub_idx"))
-    work = catalog.select(*order, "gop_id", "keeps_pixels", "frame", (F.lit(0) if policy == "continue" else starts).alias("_run"))
-    out = work.repartition("stream_id", "_run").sortWithinPartitions("stream_id", "_run", "chunk_idx", "sub_idx").mapInArrow(run, DECODED)
+    out = _in_runs(catalog, policy == "continue").mapInArrow(run, DECODED)
     if policy == "continue":
         return out
     place = F.struct("chunk_idx", "sub_idx")
@@ -241,27 +246,33 @@ def frame_digests(decoded: DataFrame) -> DataFrame:
 
 
 def block_modes(catalog: DataFrame, tables: str | None = None) -> DataFrame:
-    """One row per 8x8 unit of each decoded frame: size, skip, transform size, modes, segment, references, vectors and filter."""
+    """One row per 8x8 unit of each decoded frame: size, skip, transform size, modes, segment, references, vectors and filter.
+
+    A run ends with its first error. Rows leave frame by frame.
+    """
     names = [("mi_row", pa.int32()), ("mi_col", pa.int32()), ("size", pa.int32()), ("skip", pa.bool_()), ("tx", pa.int32()), ("mode", pa.int32()), ("uv_mode", pa.int32()), ("segment", pa.int32()), ("ref0", pa.int32()), ("ref1", pa.int32()), ("mv_row", pa.int32()), ("mv_col", pa.int32()), ("interp_filter", pa.int32())]
     schema = pa.schema([*_PLACE, *names])
 
-    def run(key, table):
-        decoder, parts = Decoder(load(tables)), []
-        for r in _in_order(table):
-            try:
-                d = decoder.decode_frame(r["frame"])
-            except BitstreamError:
-                break
-            if d.header is None:
-                continue
-            cells = [(y, x, b.size, b.skip, b.tx, b.mode, b.uv_mode, b.segment, *b.refs, *b.mv(0), b.interp_filter) for y, line in enumerate(d.blocks[: d.header.mi_rows]) for x, b in enumerate(line[: d.header.mi_cols])]
-            place = [pa.array([r[n]] * len(cells), k) for n, k in _PLACE]
-            parts.append(pa.Table.from_arrays([*place, *(pa.array(c, k) for c, (_, k) in zip(zip(*cells, strict=True), names, strict=True))], schema=schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, decoder = None, None
+        for at, frames in _chunks(batches):
+            if at != known:
+                known, decoder = at, Decoder(load(tables))
+            for r in frames if decoder else []:
+                try:
+                    d = decoder.decode_frame(r["frame"])
+                except BitstreamError:
+                    decoder = None
+                    break
+                if d.header is None:
+                    continue
+                cells = [(y, x, b.size, b.skip, b.tx, b.mode, b.uv_mode, b.segment, *b.refs, *b.mv(0), b.interp_filter) for y, line in enumerate(d.blocks[: d.header.mi_rows]) for x, b in enumerate(line[: d.header.mi_cols])]
+                place = [pa.array([r[n]] * len(cells), k) for n, k in _PLACE]
+                yield pa.RecordBatch.from_arrays([*place, *(pa.array(c, k) for c, (_, k) in zip(zip(*cells, strict=True), names, strict=True))], schema=schema)
 
     kinds = {pa.int32(): "int", pa.bool_(): "boolean"}
     ddl = "stream_id string, chunk_idx bigint, sub_idx int, " + ", ".join(f"{n} {kinds[k]}" for n, k in names)
-    return catalog.groupBy("stream_id", "gop_id").applyInArrow(run, ddl)
+    return _in_runs(catalog).mapInArrow(run, ddl)
 
 
 def pictures_png(decoded: DataFrame) -> DataFrame:
