@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandlake.llm._common import shuffle_width, slices, text_bytes
+from strandlake.llm._common import release_memory, shuffle_width, slices, text_bytes
 
 #: Chunks that a worker remembers; the memory is emptied when full, which changes no result.
 REMEMBERED = 500_000
@@ -202,6 +202,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ids = _LOADED[tokenizer].encode_batch(batch.column(1).to_pylist())
             framed = [frame(d, np.append(x, np.uint32(end_id))) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], names=["record"])
+            del ids, framed
+        release_memory()
 
     framed = rows.mapInArrow(run, "record binary")
     framed.select(F.col("record").cast("string").alias("value")).write.text(path)
@@ -231,6 +233,7 @@ def _parsed(spark: SparkSession, path: str, schema: T.StructType, with_ids: bool
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        release_memory()
 
     return files.mapInArrow(run, schema)
 

@@ -208,10 +208,8 @@ def features(word: str) -> list[str]:
 STRONG, MOST_RATIO, MOST_STRONG = 3.5, 30.0, 5.0
 
 
-def bounded(weights: list[float], times: list[int] | None = None) -> tuple[float, float]:
-    """What weights testify, each so many times."""
-    told = [w * n for w, n in zip(weights, times, strict=True)] if times else weights
-    return max(-MOST_RATIO, min(MOST_RATIO, sum(told))), min(MOST_STRONG, sum(t for w, t in zip(weights, told, strict=True) if w >= STRONG))
+def bounded(weights: list[float]) -> tuple[float, float]:
+    return max(-MOST_RATIO, min(MOST_RATIO, sum(weights))), min(MOST_STRONG, sum(w for w in weights if w >= STRONG))
 
 
 class _TokenWeights(dict):
@@ -315,46 +313,60 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             columns = [pa.array(map(simhash.fingerprint, texts), pa.int64()), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=["y", "h", "fp", "words", "counts"])
 
-    sample = chosen.mapInArrow(run, "y int, h long, fp long, words array<string>, counts array<long>").groupBy("h", "y").agg(F.min(F.struct("fp", "words", "counts")).alias("s")).collect()
-    sample = _without_near_copies(sorted((r["h"], r["y"], r["s"]["fp"], dict(zip(r["s"]["words"], r["s"]["counts"], strict=True))) for r in sample))
-    counts, texts_with, tokens = [Counter(), Counter()], Counter(), [0, 0]
-    for words, y in sample:
-        counts[y].update(words)
-        tokens[y] += sum(words.values())
-        if y:
-            texts_with.update({f for w in words for f in features(w)})
+    sample = chosen.mapInArrow(run, "y int, h long, fp long, words array<string>, counts array<long>").groupBy("h", "y").agg(F.min(F.struct("fp", "words", "counts")).alias("s"))
+    # columns, not objects: the driver holds each word as a number
+    sample = sample.select("h", "y", "s.fp", "s.words", "s.counts").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    use = _without_near_copies(sample.column("fp").to_numpy().view(np.uint64))
+    toxic = sample.column("y").to_numpy() == 1
+    lists, numbers = (pa.chunked_array(sample.column(c).chunks, sample.column(c).type).combine_chunks() for c in ("words", "counts"))
+    encoded, times = lists.flatten().dictionary_encode(), numbers.flatten().to_numpy()
+    vocabulary, word = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    both, tokens = [], []
+    for chosen_rows in (use & ~toxic, use & toxic):
+        here = chosen_rows[row]
+        both.append(np.bincount(word[here], weights=times[here], minlength=len(vocabulary)).astype(np.int64))
+        tokens.append(int(times[here].sum()))
     if not tokens[0] or not tokens[1]:
         model.shift = -3.0 if not tokens[1] else 3.0
         return model
-    both: list[Counter] = [Counter(), Counter()]
+    texts_with: Counter = Counter()
+    starts = np.searchsorted(row, np.arange(len(lists) + 1))
+    for r in np.flatnonzero(use & toxic).tolist():
+        texts_with.update({f for i in word[starts[r] : starts[r + 1]].tolist() for f in features(vocabulary[i])})
+    counts: list[Counter] = [Counter(), Counter()]
     for y in (0, 1):
-        for w, c in counts[y].items():
-            for f in features(w):
-                both[y][f] += c
+        for i in np.flatnonzero(both[y]).tolist():
+            for f in features(vocabulary[i]):
+                counts[y][f] += int(both[y][i])
     share, telling, excess = tokens[1] / tokens[0], {}, 0.0
-    for f, c in both[1].items():
-        expected = both[0][f] * share
+    for f, c in counts[1].items():
+        expected = counts[0][f] * share
         if c >= 4 and texts_with[f] >= 3 and c > 3 * expected and (c - expected) ** 2 / (expected + 1) > 15:
             telling[f] = math.log((c + 1) / (expected + 1))
-    for w, c in counts[1].items():
-        if any(f in telling for f in features(w)):
-            excess += max(0.0, c - counts[0][w] * share)
+    for i in np.flatnonzero(both[1]).tolist():
+        if any(f in telling for f in features(vocabulary[i])):
+            excess += max(0.0, int(both[1][i]) - int(both[0][i]) * share)
     model.plain = math.log1p(-min(0.5, excess / tokens[1]))
     model.testify(telling)
-    x = np.array([bounded([model.weight(w) for w in words], list(words.values())) for words, _ in sample])
-    model.slope, model.strong_slope, model.shift = _calibrated(x, np.array([y for _, y in sample], float))
+    weights = np.array([model.weight(w) for w in vocabulary])[word]
+    told = weights * times
+    ratio, strong = (np.bincount(row, weights=x, minlength=len(lists))[use] for x in (told, np.where(weights >= STRONG, told, 0.0)))
+    x = np.column_stack([np.clip(ratio, -MOST_RATIO, MOST_RATIO), np.minimum(strong, MOST_STRONG)])
+    model.slope, model.strong_slope, model.shift = _calibrated(x, toxic[use].astype(float))
     return model
 
 
-def _without_near_copies(sample: list[tuple[int, int, int, dict[str, int]]]) -> list[tuple[dict[str, int], int]]:
-    """Words and label of each text whose SimHash (third) doesn't lie within 4 bits of an earlier one's: copies would make chance words telling."""
-    seen, kept = np.zeros(len(sample), np.uint64), []
-    for _, y, signed, words in sample:
-        fp = np.uint64(signed & (1 << 64) - 1)
+def _without_near_copies(fingerprints: np.ndarray) -> np.ndarray:
+    """Which texts' SimHash doesn't lie near that of an earlier one that stays: copies would make chance words telling."""
+    seen, kept = np.zeros(len(fingerprints), np.uint64), []
+    for i, fp in enumerate(fingerprints):
         if not kept or int(np.bitwise_count(seen[: len(kept)] ^ fp).min()) > simhash.DISTANCE:
             seen[len(kept)] = fp
-            kept.append((words, y))
-    return kept
+            kept.append(i)
+    use = np.zeros(len(fingerprints), bool)
+    use[kept] = True
+    return use
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
