@@ -12,7 +12,6 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
 import string
 import struct
 import unicodedata
@@ -29,10 +28,14 @@ from pyspark.sql.window import Window
 
 from strandlake.llm._common import release_memory, shuffle_width, slices, text_bytes
 
-#: Chunks that a worker remembers; the memory is emptied when full, which changes no result.
+#: Chunks that a worker remembers; half of the memory is given up when it is full, which changes no result.
 REMEMBERED = 500_000
-#: ASCII controls that only Python's str.split() takes for white space.
-_CONTROLS = re.compile(r"[\x1c-\x1f]").search
+_SPACE, _LETTER, _SIGN = 1, 2, 3
+#: Kinds of UTF-8 bytes. 0xC3 leads the small letters from U+00DF to U+00FF, of which 0xB7 would be the sign U+00F7.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(b" \t\n\v\f\r")] = _SPACE
+_KINDS[[*string.ascii_lowercase.encode(), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = _LETTER
+_KINDS[list(string.punctuation.encode())] = _SIGN
 #: Bytes of text whose ids go to one file, and the least ones, where fewer would leave tasks without work.
 FILE_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 HEAD = struct.Struct("<QI")
@@ -82,12 +85,36 @@ def records(content: bytes | memoryview) -> Iterator[tuple[int, int, int | None,
         at = end + 5
 
 
+def _pieces(texts: list[bytes]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The chunks of UTF-8 texts between white space, and the places among them where each text begins and the last one ends.
+
+    A chunk of small letters of Latin-1 and signs behind them is cut in two.
+    """
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    kinds = _KINDS[data]
+    runs = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+    kind = np.concatenate([kinds[:1], kinds[runs], kinds[-1:]])
+    before, here, after = kind[:-2], kind[1:-1], kind[2:]
+    begins = (before == _SPACE) & (here != _SPACE)
+    begins[1:] |= (here[1:] == _SIGN) & (after[1:] == _SPACE) & (before[1:] == _LETTER) & begins[:-1]
+    # white space is left out, so that pieces lie side by side
+    sizes = np.diff(runs, append=data.size) * (here != _SPACE)
+    starts = np.append((np.cumsum(sizes) - sizes)[begins], sizes.sum())
+    bounds = np.searchsorted(runs[begins], np.cumsum([1, *(len(x) + 1 for x in texts)]))
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[kinds != _SPACE])), bounds
+
+
+def _strings(array: pa.LargeStringArray, which: np.ndarray) -> list[str]:
+    return array.filter(pa.array(which)).to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
-    """The tokenizers library behind a memory of white-space delimited chunks: chunk to packed ids.
+    """The tokenizers library behind a memory of white-space delimited chunks: chunk to ids.
 
     The tokenizer normalizes, lower-cases, drops white space and never joins text across
     it, so the ids of a text are those of its chunks in order. Texts are lowered before
-    the look-up where that and normalization can be swapped. New chunks that are
+    the look-up where that and normalization can be swapped. Chunks are cut as bytes of
+    a whole batch and only its different ones are looked up. New chunks that are
     normalized words of small letters pass the library's model without normalizer and
     splitter, which would leave them as they are; signs behind a word are a piece of
     their own. All other chunks go through the whole tokenizer.
@@ -111,68 +138,100 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        # chunk known[k] has the ids from at[k] to at[k + 1] and was met in hits[k] batches
+        self.known, self.ids, self.at, self.hits = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _chunks(self, text: str | None) -> list[str]:
+    def _lowered(self, text: str | None) -> bytes:
         text = text or ""
         if "<|" not in text:  # special tokens are found as they are written
             low = text.lower()
             if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
                 text = low
-        return text.split() if text.isascii() and not _CONTROLS(text) else [c.decode("utf-8") for c in text.encode("utf-8").split()]
-
-    def _whole(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 1000):
-            for c, e in zip(chunks[i : i + 1000], self.tokenizer.encode_batch_fast(chunks[i : i + 1000], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-
-    def _words(self, tokenizer, words: list[str]) -> None:
-        for i in range(0, len(words), 2048):
-            part = words[i : i + 2048]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            packed = ids.tobytes()
-            self.known.update(zip(part, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        known, plain, accented, others, joined = self.known, set(), set(), set(), []
-        for c in new:
-            base, tail = c, ""
-            if not c.isalpha():
-                base = c.rstrip(string.punctuation)
-                tail = c[len(base) :]
-            if base.isascii():
-                small = base.isalpha() and base.islower()
-                kind = plain
-            else:
-                small = base.isalpha() and base == base.lower() and unicodedata.is_normalized("NFC", base)
-                kind = accented
-            if not small:
-                others.add(c)
-                continue
-            if tail:
-                joined.append((c, base, tail))
-                if tail not in known:
-                    others.add(tail)
-                if base in known:
-                    continue
-            kind.add(base)
-        self._whole(list(others))
-        self._words(self.ascii, list(plain))
-        self._words(self.plain, list(accented))
-        for c, base, tail in joined:
-            known[c] = known[base] + known[tail]
+        return text.encode("utf-8")
+
+    def _add(self, chunks: pa.LargeStringArray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Remember new chunks, whose ids lie side by side: their numbers."""
+        count = len(self.known)
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.at = np.concatenate([self.at, ends + self.at[-1]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.hits = np.concatenate([self.hits, np.zeros(len(chunks), np.int64)])
+        return np.arange(count, len(self.known))
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many chunks side by side, and where those of each end."""
+        starts = self.at[numbers]
+        sizes = self.at[numbers + 1] - starts
+        ends = np.cumsum(sizes)
+        places = np.repeat(starts - ends + sizes, sizes)
+        places += np.arange(places.size)
+        return self.ids[places], ends
+
+    def _numbers(self, chunks: pa.LargeStringArray) -> np.ndarray:
+        """The numbers of chunks; unknown ones are encoded first."""
+        count = len(self.known)
+        # what is known comes first, so that its places in the dictionary are its numbers
+        found = pa.concat_arrays([self.known, chunks]).dictionary_encode()
+        numbers, new = found.indices.to_numpy()[count:].copy(), found.dictionary[count:]
+        del found
+        if len(new):
+            numbers = np.concatenate([np.arange(count), self._learn(new)])[numbers]
+        self.hits[numbers] += 1
+        return numbers
+
+    def _whole(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [chunks[i : i + 1000] for i in range(0, len(chunks), 1000)]
+        ids = [np.array(e.ids, "<u4") for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([x.size for x in ids], dtype=np.int64)
+
+    def _words(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [" ".join(words[i : i + 2048]) for i in range(0, len(words), 2048)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<u4") for part in parts)])
+        return ids, np.flatnonzero(self.ends[ids]) + 1
+
+    def _learn(self, new: pa.LargeStringArray) -> np.ndarray:
+        """Encode and remember different chunks that are not known yet: their numbers."""
+        stems = pa.compute.ascii_rtrim(new, string.punctuation)
+        alone = pa.compute.equal(stems, new).to_numpy(zero_copy_only=False)
+        ascii = pa.compute.string_is_ascii(new).to_numpy(zero_copy_only=False)
+        # small letters of Latin-1 are seen to be so at once, others one by one
+        small = pa.compute.match_substring_regex(stems, "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$").to_numpy(zero_copy_only=False)
+        small[~small] = [not b.isascii() and b.isalpha() and b == b.lower() and unicodedata.is_normalized("NFC", b) for b in _strings(stems, ~small)]
+        numbers = np.zeros(len(new), np.int64)
+        for which, encoded in (
+            (~small, self._whole(_strings(new, ~small))),
+            (small & alone & ascii, self._words(self.ascii, _strings(new, small & alone & ascii))),
+            (small & alone & ~ascii, self._words(self.plain, _strings(new, small & alone & ~ascii))),
+        ):
+            numbers[which] = self._add(new.filter(pa.array(which)), *encoded)
+        which = small & ~alone
+        if which.any():
+            bases = _strings(stems, which)
+            tails = [c[len(b) :] for c, b in zip(_strings(new, which), bases, strict=True)]
+            pairs = self._numbers(pa.array(bases + tails, pa.large_string())).reshape(2, -1)
+            ids, ends = self._gather(pairs.T.ravel())
+            numbers[which] = self._add(new.filter(pa.array(which)), ids, ends[1::2])
+        return numbers
+
+    def _forget(self) -> None:
+        """Keep the half of the memory that was met in most batches, the newer of equals."""
+        kept = np.sort(np.argsort(self.hits, kind="stable")[len(self.hits) // 2 :])
+        self.ids, ends = self._gather(kept)
+        self.known, self.at, self.hits = self.known.take(pa.array(kept)), np.concatenate([[0], ends]), self.hits[kept] >> 1
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunked = [self._chunks(t) for t in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in chunked]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        self._learn({c for i in lacking for c, ids in zip(chunked[i], found[i], strict=True) if ids is None})
-        for i in lacking:
-            found[i] = [self.known[c] if ids is None else ids for c, ids in zip(chunked[i], found[i], strict=True)]
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+            self._forget()
+        pieces, bounds = _pieces([self._lowered(t) for t in texts])
+        del texts
+        spans = pieces.dictionary_encode()
+        del pieces
+        numbers = self._numbers(spans.dictionary)[spans.indices.to_numpy()]
+        del spans
+        pa.default_memory_pool().release_unused()  # before arrays of ids take memory of their own
+        ids, ends = self._gather(numbers)
+        cuts = np.concatenate([[0], ends])[bounds].tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
 
 
 _LOADED: dict[str, WordEncoder] = {}
